@@ -80,7 +80,7 @@ g AS (SELECT content, parts[list_position(parts, 'trajectories') + 1] AS traj_id
       FROM f WHERE list_position(parts, 'trajectories') > 0),
 k AS (SELECT content, traj_id, CASE WHEN name LIKE 'labels%' THEN 'labels' WHEN name LIKE 'init\_meta%' ESCAPE '\' THEN 'init_meta'
              WHEN name LIKE 'done%' THEN 'done' END AS kind FROM g),
-l AS (SELECT traj_id, TRY_CAST(regexp_extract(line, '^\s*([^,;]*)[,;]', 1) AS DOUBLE) AS p FROM
+l AS (SELECT traj_id, TRY_CAST(regexp_extract(replace(line, chr(65279), ''), '^\s*([^,;]*)[,;]', 1) AS DOUBLE) AS p FROM
       (SELECT traj_id, unnest(regexp_split_to_array(content, '\r\n|\n|\r')) AS line FROM k WHERE kind = 'labels')),
 r AS (SELECT traj_id, kind, CAST(round(p * 1000) AS INT) AS p_milli FROM (SELECT *, 'labels' AS kind FROM l) WHERE p IS NOT NULL
       UNION ALL SELECT traj_id, kind, -1 FROM k WHERE kind = 'init_meta' AND json_valid(content) AND json_type(content) = 'OBJECT'
