@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triloom.functions.naming import complete_object, path_parts, squeeze, trajectory_key, trajectory_run, trajectory_shape
 from triloom.llm import mixing, packing, quantiles
+from triloom.llm.sentences import sentence_units
 from triloom.llm.splits import SplitStore
 from triloom.runtime import cut
 
@@ -130,9 +131,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+# -- 8: sentences ------------------------------------------------------------------
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_units(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_splits, p5_percentiles, p5_daily, p6_packing, p6_report, p7_mixture, p7_shares)
+    for f in (p2_found, p2_splits, p5_percentiles, p5_daily, p6_packing, p6_report, p7_mixture, p7_shares, p8_found)
 }
 
 ORACLE_SQL = {
