@@ -1,6 +1,6 @@
 """Canonical spellings of identifiers, as Catalyst expressions (no Python at run time).
 
-Nulls stay null; a name without any letter or digit becomes null as well.
+Nulls stay null; a name of nothing but blanks and punctuation becomes null as well.
 """
 
 from __future__ import annotations
@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TAIL = r"^(.*?)[^\p{L}\p{N}]+o0*([0-9]+)[^\p{L}\p{N}]+run0*([0-9]+)$"
-_EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+#: Blanks and punctuation between and around the parts of a name.
+_SEP = r"[\s\p{Punct} ​﻿]"
+_TAIL = _SEP + r"+o0*([0-9]+)" + _SEP + r"+run0*([0-9]+)" + _SEP + "*$"
+#: Stands between the parts of a key; no name holds it.
+_MARK = "\u0001"
 
 
 def _c(x: Column | str) -> Column:
@@ -17,33 +20,32 @@ def _c(x: Column | str) -> Column:
 
 
 def squeeze(name: Column | str) -> Column:
-    """Lower case, letters and digits only: ``N400-r50x8 `` and ``n400_r50x8`` are one name."""
-    s = F.regexp_replace(F.lower(_c(name)), r"[^\p{L}\p{N}]+", "")
+    """Lower case without blanks and punctuation: ``N400-r50x8 `` and ``n400_r50x8`` are one name."""
+    s = F.regexp_replace(F.lower(_c(name)), _SEP + "+", "")
     return F.when(s != "", s)
 
 
 def trajectory_key(traj_id: Column | str) -> Column:
-    """``shape|overlap|run`` of a trajectory id however it is spelled.
+    """Shape, overlap and run of a trajectory id however it is spelled, as one key.
 
     Case, separators, surrounding blanks and leading zeros of the two numbers are
     ignored. An id that has not the form ``<shape>_o<overlap>_run<run>`` is squeezed.
     """
-    s = F.regexp_replace(F.lower(_c(traj_id)), _EDGE, "")
-    shape = F.regexp_replace(F.regexp_extract(s, _TAIL, 1), r"[^\p{L}\p{N}]+", "")
-    full = F.concat_ws("|", shape, F.regexp_extract(s, _TAIL, 2), F.regexp_extract(s, _TAIL, 3))
-    return F.when(s.rlike(_TAIL), full).otherwise(squeeze(traj_id))
+    s = F.regexp_replace(F.lower(_c(traj_id)), _TAIL, f"{_MARK}$1{_MARK}$2")
+    s = F.regexp_replace(s, _SEP + "+", "")
+    return F.when(s != "", s)
 
 
 def trajectory_shape(traj_id: Column | str) -> Column:
     """The squeezed shape part of an id, null if the id has not the usual form."""
-    s = F.regexp_replace(F.lower(_c(traj_id)), _EDGE, "")
-    return F.when(s.rlike(_TAIL), squeeze(F.regexp_extract(s, _TAIL, 1)))
+    parts = F.split(trajectory_key(traj_id), _MARK)
+    return F.when(F.size(parts) == 3, parts[0])
 
 
 def trajectory_run(traj_id: Column | str) -> Column:
     """The run number in an id, null if the id has not the usual form."""
-    s = F.regexp_replace(F.lower(_c(traj_id)), _EDGE, "")
-    return F.when(s.rlike(_TAIL), F.regexp_extract(s, _TAIL, 3).try_cast("bigint"))
+    parts = F.split(trajectory_key(traj_id), _MARK)
+    return F.when(F.size(parts) == 3, parts[2].try_cast("bigint"))
 
 
 def micro_units(x: Column | str) -> Column:

@@ -6,8 +6,9 @@ which partition that is. A batch of messages is merged by
 
 1. looking its identifiers up in the index, which names the affected partitions,
 2. reading only these partitions and adding the incoming messages,
-3. choosing one winner per identifier (an aggregate with map-side combine, so an
-   identifier that holds a third of all rows is folded before it is shuffled),
+3. choosing one winner per identifier (a hash aggregate with map-side combine, so an
+   identifier that holds a third of all rows is folded before it is shuffled) and
+   joining it to its row by the row id,
 4. writing the affected partitions anew beside the old ones and switching to them by
    one atomic rename of a manifest. Readers see the state before or after, never
    between; a batch that was committed is not applied again.
@@ -22,14 +23,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from triloom.functions.naming import micro_units, squeeze, trajectory_key
-from triloom.runtime import hadoop_path
+from triloom.runtime import cut, hadoop_path
 
-_OWN = ("__key", "__home", "__ord", "__part", "__old")
+_OWN = ("__home", "__part")
+_LOST = "lost"
 
 
 def record_identifier() -> list[Column]:
@@ -83,7 +86,13 @@ class DeliveryStore:
 
     def dropped(self) -> DataFrame:
         """The ids of all rows that lost against another copy so far."""
-        return self._read(self.state()["dropped"])
+        lost = []
+        for d in self.state()["dropped"]:
+            fs, p = hadoop_path(self.spark, d)
+            lost += [d] if fs.exists(p) else []
+        if not lost:
+            return self.current().select(self.row_id).where(F.lit(False))
+        return self._read(lost).select(self.row_id).distinct()
 
     # -- writing ----------------------------------------------------------------
 
@@ -97,64 +106,81 @@ class DeliveryStore:
             raise ValueError(f"reserved column names: {clash}")
         v = s["version"] + 1
         here = f"{self.path}/v{v:08d}"
-        keyed = self._keyed(batch)
+        incoming = batch.select(*self._key(), self._home(), self._rank(), F.lit(True).alias("__new"))
+        old = None
         if s["index"]:
-            index = self._read(s["index"])
-            incoming = keyed.join(index.withColumnRenamed("__home", "__old"), "__key", "left").withColumn(
-                "__home", F.coalesce("__old", "__home")
+            index = self._read(s["index"]).where("__new").select("__k1", "__k2", F.col("__home").alias("__old"))
+            incoming = cut(
+                incoming.join(index, ["__k1", "__k2"], "left").select(
+                    "__k1", "__k2", F.coalesce("__old", "__home").alias("__home"), "__rank", F.col("__old").isNull().alias("__new")
+                )
             )
-            found = incoming.select("__home").distinct()
-            touched = {r[0] for r in found.collect()}  # day numbers: bounded by the calendar
-            old = [d for h, d in s["homes"].items() if int(h) in touched]
-            together = incoming.drop("__old").unionByName(self._read(old)) if old else incoming.drop("__old")
-            fresh = incoming.where(F.col("__old").isNull())
-        else:
-            together = fresh = keyed
-        names = [c for c in together.columns if c not in _OWN]
-        best = (
-            together.groupBy("__key")
-            .agg(F.max_by(F.struct("__ord", *names), "__ord").alias("__w"), F.min("__home").alias("__home"))
-            .select("__key", "__home", *[F.col("__w")[c].alias(c) for c in ["__ord", *names]])
+            touched = {r[0] for r in incoming.select("__home").distinct().collect()}  # days: bounded by the calendar
+            dirs = [d for h, d in s["homes"].items() if int(h) in touched]
+            old = self._read(dirs) if dirs else None
+        ranked = incoming
+        if old is not None:
+            ranked = ranked.union(old.select(*self._key(), "__home", self._rank(), F.lit(False).alias("__new")))
+        best = ranked.groupBy("__k1", "__k2").agg(
+            F.max("__rank").alias("__rank"), F.min("__home").alias("__home"), F.min("__new").alias("__new")
         )
-        parted = best.withColumn("__part", F.col("__home")).hint("rebalance", "__part")
-        parted.write.partitionBy("__part").parquet(f"{here}/data")
-        winners = self.spark.read.parquet(f"{here}/data")
-        lost = together.select(self.row_id).join(winners.select(self.row_id), self.row_id, "left_anti")
-        lost.distinct().write.parquet(f"{here}/dropped")
-        # a key's home never changes, so the index only ever grows by the keys that are new
-        fresh.groupBy("__key").agg(F.min("__home").alias("__home")).write.parquet(f"{here}/index")
-        homes = [r[0] for r in winners.select("__part").distinct().collect()]  # days: bounded by the calendar
+        # what is new in it is this version's part of the index
+        best.select("__k1", "__k2", "__home", "__new", self._row_of("__rank").alias("__row")).write.parquet(f"{here}/index")
+        best = self._read([f"{here}/index"])
+        rows = batch if old is None else batch.unionByName(old.drop("__home"))
+        if self._write(rows, best, f"{here}/data") > best.count():
+            # the batch repeats row ids: one row of each is enough
+            self._write(rows.dropDuplicates([self.row_id]), best, f"{here}/data")
+        homes = [r[0] for r in best.select("__home").distinct().collect()]
         s = {
             "version": v,
             "homes": {**s["homes"], **{str(h): f"{here}/data/__part={h}" for h in homes}},
             "index": [*s["index"], f"{here}/index"],
             "applied": [*s["applied"], batch_name],
-            "dropped": [*s["dropped"], f"{here}/dropped"],
+            "dropped": [*s["dropped"], f"{here}/data/__part={_LOST}"],
         }
         self._commit(s)
         return s
 
-    def _keyed(self, batch: DataFrame) -> DataFrame:
-        """Adds the identifier's hash pair, its home and its rank among copies.
+    def _write(self, rows: DataFrame, best: DataFrame, to: str) -> int:
+        """Winners to the directory of their home, the others to one of their own; returns the winners written.
 
-        Two 64-bit hashes with different seeds stand for the identifier. A row without
-        a whole identifier gets a key of its own row id.
+        The join is on the row id, which is unique, so no identifier is a hot key in it.
+        """
+        best = best.select("__row", "__home")
+        joined = rows.join(best, rows[self.row_id].eqNullSafe(best["__row"]), "left")
+        part = F.coalesce(F.col("__home").cast("string"), F.lit(_LOST))
+        parted = joined.drop("__row").withColumn("__part", part).hint("rebalance", "__part")
+        seen = Observation()
+        parted.observe(seen, F.count("__home").alias("kept")).write.mode("overwrite").partitionBy("__part").parquet(to)
+        return seen.get["kept"]
+
+    def _key(self) -> list[Column]:
+        """Two 64-bit hashes of the identifier, together its key.
+
+        A row without a whole identifier gets a key of its own row id.
         """
         whole = F.lit(True)
         for c in self.identifier:
             whole = whole & c.isNotNull()
         parts = [F.coalesce(c.cast("string"), F.lit("")) for c in self.identifier]
-        text = F.concat_ws("\u0001", *parts)
-        own = F.concat(F.lit("\u0002"), F.col(self.row_id).cast("string"))
-        name = F.when(whole, text).otherwise(own)
-        pair = F.concat(F.hex(F.xxhash64(name)), F.hex(F.xxhash64(F.lit("b"), name)))
-        at = F.coalesce(F.unix_micros(F.col(self.loaded_at).cast("timestamp")), F.lit(-(1 << 62)))
-        return batch.select(
-            "*",
-            pair.alias("__key"),
-            F.coalesce(F.unix_date(F.col(self.loaded_at).cast("date")), F.lit(0)).alias("__home"),
-            F.struct(at.alias("at"), F.col(self.row_id).cast("bigint").alias("id")).alias("__ord"),
-        )
+        own = F.concat(F.lit("\u0003"), F.col(self.row_id).cast("string"))
+        name = F.when(whole, F.concat_ws("\u0002", *parts)).otherwise(own)
+        return [F.xxhash64(name).alias("__k1"), F.xxhash64(F.lit("b"), name).alias("__k2")]
+
+    def _home(self) -> Column:
+        return F.coalesce(F.unix_date(F.col(self.loaded_at).cast("date")), F.lit(0)).alias("__home")
+
+    def _rank(self) -> Column:
+        """Load time, then row id, in one decimal: its maximum needs no sort."""
+        at = F.coalesce(F.unix_micros(F.col(self.loaded_at).cast("timestamp")), F.lit(-(1 << 60)))
+        row = F.coalesce(F.col(self.row_id).cast("bigint"), F.lit(-(1 << 63))).cast("decimal(20,0)") + F.lit(Decimal(1 << 63))
+        return (at.cast("decimal(19,0)") * F.lit(Decimal(1 << 64)) + row).cast("decimal(38,0)").alias("__rank")
+
+    def _row_of(self, rank: str) -> Column:
+        row = F.pmod(F.col(rank), F.lit(Decimal(1 << 64)).cast("decimal(38,0)")) - F.lit(Decimal(1 << 63))
+        row = row.cast("bigint")
+        return F.when(row != F.lit(-(1 << 63)), row)
 
 
 def merge_deliveries(store: DeliveryStore, deliveries: DataFrame, order: str, cuts: Sequence) -> DeliveryStore:

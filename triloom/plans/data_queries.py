@@ -30,12 +30,9 @@ def p1_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _delivered(spark: SparkSession, rows: DataFrame) -> DeliveryStore:
-    """The rows taken in as they came: a history, then two later deliveries.
-
-    The cuts are at 60 % and 80 % of the time that the load times span.
-    """
+    """The rows taken in as they came: a history, then what was loaded in the last fifth of the time."""
     lo, hi = rows.agg(F.min("loaded_at"), F.max("loaded_at")).first()
-    cuts = [lo + (hi - lo) * share for share in (0.6, 0.8)] if lo is not None else []
+    cuts = [lo + (hi - lo) * share for share in (0.8,)] if lo is not None else []
     store = DeliveryStore(spark, new_table_dir(spark, "deliveries"), record_identifier())
     return merge_deliveries(store, rows, "loaded_at", cuts)
 
