@@ -87,17 +87,20 @@ def _measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of each algorithm over all days, combined from the sketches of the days."""
+    """Percentiles of each algorithm on each day, and over all days (day null), combined from the days' sketches."""
     k = quantiles.buffer_size()
-    daily = quantiles.build(_measurements(spark, sf_dir), ["day", "algo"], ["omega", "elapsed_sec"], k)
-    return quantiles.percentiles(quantiles.combine(daily, ["algo"], k), ["algo"], QS)
+    built = quantiles.build(_measurements(spark, sf_dir), ["day", "algo"], ["omega", "elapsed_sec"], k)
+    daily = cut(quantiles.combine(built, ["day", "algo"], k))
+    every = quantiles.combine(daily, ["algo"], k)
+    total = quantiles.percentiles(every, ["algo"], QS).withColumn("day", F.lit(None).cast("date"))
+    return quantiles.percentiles(daily, ["day", "algo"], QS).unionByName(total)
 
 
-def p5_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of each algorithm and day."""
+def p5_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each algorithm over all rows."""
     k = quantiles.buffer_size()
-    daily = quantiles.build(_measurements(spark, sf_dir), ["day", "algo"], ["omega", "elapsed_sec"], k)
-    return quantiles.percentiles(quantiles.combine(daily, ["day", "algo"], k), ["day", "algo"], QS)
+    built = quantiles.build(_measurements(spark, sf_dir), ["algo"], ["omega", "elapsed_sec"], k)
+    return quantiles.percentiles(quantiles.combine(built, ["algo"], k), ["algo"], QS)
 
 
 # -- 6: packing --------------------------------------------------------------------
@@ -140,7 +143,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_splits, p5_percentiles, p5_daily, p6_packing, p6_report, p7_mixture, p7_shares, p8_found)
+    for f in (p2_found, p2_splits, p5_percentiles, p5_overall, p6_packing, p6_report, p7_mixture, p7_shares, p8_found)
 }
 
 ORACLE_SQL = {
