@@ -18,11 +18,13 @@ from triloom.runtime import cut
 
 
 def _jump(parents: DataFrame) -> DataFrame:
-    """(hi, lo) with lo < hi, to (hi, root)."""
+    """(hi, lo) with lo < hi, to (hi, root). Two jumps before each look at whether any was needed."""
     now = parents
     while True:
         up = now.select(F.col("hi").alias("lo"), F.col("lo").alias("up"))
-        jumped = cut(now.join(up, "lo", "left").select("hi", F.coalesce("up", "lo").alias("lo"), F.col("up").isNotNull().alias("moved")))
+        twice = now.join(up, "lo", "left").select("hi", F.coalesce("up", "lo").alias("lo"))
+        up = twice.select(F.col("hi").alias("lo"), F.col("lo").alias("up"))
+        jumped = cut(twice.join(up, "lo", "left").select("hi", F.coalesce("up", "lo").alias("lo"), F.col("up").isNotNull().alias("moved")))
         now = jumped.select("hi", "lo")
         if not jumped.where("moved").take(1):
             return now
