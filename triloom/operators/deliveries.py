@@ -16,7 +16,7 @@ which partition that is. A batch of messages is merged by
 Defined results: a message with a null or NaN part in its identifier identifies
 nothing and is always kept; of equal load times the largest row id wins; a null load
 time loses against any other; rows that repeat a row id are one row; an empty batch
-changes nothing.
+changes nothing; further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,7 +82,15 @@ class DeliveryStore:
         s = self.state()
         if not s["homes"]:
             raise ValueError("the store is empty")
-        return self._read(sorted(s["homes"].values())).drop(*_OWN)
+        rows = self._read(sorted(s["homes"].values())).drop(*_OWN)
+        return rows.withColumnsRenamed({c + s["tail"]: c for c in _OWN})
+
+    def _tail(self, batch: DataFrame) -> str:
+        """What is hung on columns of the batch that have the store's own names; no other column ends so."""
+        tail = "_"
+        while any(c + tail in batch.columns for c in _OWN):
+            tail += "_"
+        return tail
 
     def dropped(self) -> DataFrame:
         """The ids of all rows that lost against another copy so far."""
@@ -101,9 +109,8 @@ class DeliveryStore:
         s = self.state()
         if batch_name in s["applied"]:
             return s
-        clash = sorted(set(batch.columns) & set(_OWN))
-        if clash:
-            raise ValueError(f"reserved column names: {clash}")
+        s = s | {"tail": s.get("tail") or self._tail(batch)}
+        batch = batch.withColumnsRenamed({c: c + s["tail"] for c in batch.columns if c in _OWN})
         v = s["version"] + 1
         here = f"{self.path}/v{v:08d}"
         incoming = batch.select(*self._key(), self._home(), self._rank(), F.lit(True).alias("__new"))
@@ -134,6 +141,7 @@ class DeliveryStore:
         homes = [r[0] for r in best.select("__home").distinct().collect()]
         s = {
             "version": v,
+            "tail": s["tail"],
             "homes": {**s["homes"], **{str(h): f"{here}/data/__part={h}" for h in homes}},
             "index": [*s["index"], f"{here}/index"],
             "applied": [*s["applied"], batch_name],

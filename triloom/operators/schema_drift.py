@@ -286,9 +286,11 @@ def match_signatures(signatures: DataFrame, reference: Mapping[str, str]) -> Dat
 
 
 def with_matches(rows: DataFrame, text: str, reference: Mapping[str, str]) -> DataFrame:
-    """Rows whose ``text`` is a complete JSON object, with ``field_paths`` and ``changes``."""
-    signed = rows.withColumn("signature", kind_signature(complete_object(text))).where(F.col("signature").isNotNull())
-    return signed.join(match_signatures(signed, reference), "signature").drop("signature")
+    """Rows whose ``text`` is a complete JSON object, with ``__paths`` (field -> JSON path)."""
+    signed = rows.withColumn("__signature", kind_signature(complete_object(text))).where(F.col("__signature").isNotNull())
+    matched = match_signatures(signed.select(F.col("__signature").alias("signature")), reference)
+    matched = matched.select(F.col("signature").alias("__signature"), F.col("field_paths").alias("__paths"))
+    return signed.join(matched, "__signature").drop("__signature")
 
 
 def drift_report(rows: DataFrame, file_id: str, text: str, reference: Mapping[str, str], origin: str) -> DataFrame:
@@ -323,11 +325,11 @@ def unify(rows: DataFrame, text: str, reference: Mapping[str, str], keep: Sequen
     text; a value that cannot be cast is null. ``overlap`` is a fraction: percentages
     are divided by 100. ``seed`` may be written in eight hexadecimal digits.
     """
-    m = with_matches(rows.select(*keep, text), text, reference)
+    m = with_matches(rows.select(*keep, F.col(text).alias("__text")), "__text", reference)
     cols = []
     for f, kind in reference.items():
-        path = F.col("field_paths")[f]
-        raw = F.call_function("get_json_object", F.col(text), path)
+        path = F.col("__paths")[f]
+        raw = F.call_function("get_json_object", F.col("__text"), path)
         if kind == NUM:
             v = _number(raw, f == "overlap")
             if f == "overlap":

@@ -13,7 +13,8 @@ trajectory part or whose content is null holds no record, except that an existin
 ``done`` file is a marker even when empty; the newest file wins among copies of a
 record (then the largest file id, then the latest line); lines whose first cell is no
 finite number are headers; an ``init_meta`` text that is not one complete JSON object
-holds no record; empty input gives an empty table.
+holds no record; null sizes and negative ones count as 0; other columns are not looked
+at; empty input gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ def frozen_manifest(files: DataFrame) -> DataFrame:
 
 
 def _with_kind(files: DataFrame) -> DataFrame:
+    files = files.select("file_id", "path", "n_bytes", "modified_at", "content")
     parts = path_parts("path")
     at = F.array_position(parts, "trajectories")
     name = F.element_at(parts, -1)
