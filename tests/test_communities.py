@@ -194,9 +194,12 @@ def test_hub_is_dealt(spark):
 
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(5, 5), (None, 1)], "a bigint, b bigint")
-    roots = {r["node"]: r["root"] for r in components(links).collect()}
-    assert {roots[i] for i in range(31)} == {0}
-    assert {roots[i] for i in range(100, 140)} == {100}
+    for few in (0, 10, 10**6):
+        roots = {r["node"]: r["root"] for r in components(links, local_links=few).collect()}
+        assert {roots[i] for i in range(31)} == {0}
+        assert {roots[i] for i in range(100, 140)} == {100}
+    words = spark.createDataFrame([("b", "a"), ("c", "b"), ("é", "z")], "a string, b string")
+    assert {r["node"]: r["root"] for r in components(words).collect()} == {"a": "a", "b": "a", "c": "a", "z": "z", "é": "z"}
     assert components(links.where("a < 0")).count() == 0
 
 
