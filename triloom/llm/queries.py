@@ -56,13 +56,13 @@ def related_records(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _split_store(spark: SparkSession, sf_dir: str) -> SplitStore:
-    """The manifest as it grew: a first part, then two later ones, cut at 60 % and 80 % of the ids."""
+    """The manifest as it grew: the first 80 % of the ids, then the rest."""
     rows = cut(related_records(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "traj_files").select("path", "content")))
     store = SplitStore(spark)
     lo, hi = rows.agg(F.min("id"), F.max("id")).first()
     if lo is None:
         return store
-    edges = [lo, *[lo + int((hi - lo) * s) for s in (0.6, 0.8)], hi + 1]
+    edges = [lo, *[lo + int((hi - lo) * s) for s in (0.8,)], hi + 1]
     for a, b in zip(edges, edges[1:]):
         store.update(rows.where(F.col("id").between(a, b - 1)))
     return store

@@ -30,12 +30,13 @@ from triloom.runtime import cut
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 QUARANTINE = "quarantine"
+_RECORD = "r"  # before a record's own key; other keys have k
 #: New components are put in order in this many slots by size and hash.
 SLOTS = 1024
 
 
 class SplitStore:
-    """Tables: members (id, comp), keys (key, comp), comps (comp, split, weight); each a written table."""
+    """Two tables, each written down: keys (key, comp), where a record is a key of its own, and comps (comp, split, weight)."""
 
     def __init__(self, spark: SparkSession, proportions: Mapping[str, float] = SPLITS):
         if not proportions or any(p < 0 for p in proportions.values()) or sum(proportions.values()) <= 0:
@@ -43,43 +44,38 @@ class SplitStore:
         total = sum(proportions.values())
         self.proportions = {k: v / total for k, v in proportions.items()}
         self.spark = spark
-        self.members = spark.createDataFrame([], "id bigint, comp bigint")
-        self.keys = spark.createDataFrame([], "key string, comp bigint")
-        self.comps = spark.createDataFrame([], "comp bigint, split string, weight bigint")
+        self.keys: DataFrame | None = None
+        self.comps: DataFrame | None = None
 
     def update(self, batch: DataFrame) -> None:
         """Merges records: ``id`` bigint and ``keys`` array of strings."""
-        pairs = cut(batch.where("id IS NOT NULL").select("id", F.explode_outer("keys").alias("key")).distinct())
-        ids = pairs.select("id").distinct()
-        old = ids.join(self.members, "id").select("id", "comp")
-        known = pairs.where("key IS NOT NULL").join(self.keys, "key", "left").select("id", "key", "comp")
-        known = cut(known)
+        own = F.concat(F.lit(_RECORD), F.col("id").cast("string"))
+        named = F.transform(F.array_compact(F.coalesce("keys", F.array().cast("array<string>"))), lambda k: F.concat(F.lit("k"), k))
+        pairs = batch.where("id IS NOT NULL").select("id", F.explode(F.array_append(named, own)).alias("key"))
+        if self.keys is None:
+            known = pairs.withColumn("comp", F.lit(None).cast("bigint"))
+        else:
+            known = pairs.join(self.keys, "key", "left")
+        known = cut(known.select("id", "key", "comp"))
         # a key joins the component that has it, and all records of the batch that have it
         low = known.groupBy("key").agg(F.min(F.least("id", F.coalesce("comp", "id"))).alias("low"))
         joined = known.join(low, "key")
-        links = (
-            joined.select(F.col("id").alias("a"), F.col("low").alias("b"))
-            .union(joined.where("comp IS NOT NULL").select(F.col("comp").alias("a"), F.col("low").alias("b")))
-            .union(old.select(F.col("id").alias("a"), F.col("comp").alias("b")))
-        )
-        moved = cut(contract(links))
+        links = joined.select(F.explode(F.array("id", "comp")).alias("a"), F.col("low").alias("b"))
+        roots = contract(links).withColumnRenamed("node", "comp")
         root = F.coalesce("root", "comp")
-        named = moved.withColumnRenamed("node", "comp")
-        fresh = ids.join(self.members.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp"))
-        members = self.members.union(fresh).join(named, "comp", "left").select("id", root.alias("comp"))
-        keys = known.select("key", F.coalesce("comp", "id").alias("comp")).union(self.keys).join(named, "comp", "left")
-        keys = keys.select("key", root.alias("comp")).groupBy("key").agg(F.min("comp").alias("comp"))
+        keys = known.select("key", F.coalesce("comp", "id").alias("comp"))
+        if self.keys is not None:
+            keys = keys.unionByName(self.keys)
+        keys = keys.groupBy("key").agg(F.min("comp").alias("comp"))
+        keys = cut(keys.join(roots, "comp", "left").select("key", root.alias("comp")))
         # components: what was there under its new name, and how many records came to it
-        before = self.comps.join(named, "comp", "left").select(root.alias("comp"), "split", "weight")
-        came = fresh.join(named, "comp", "left").select(root.alias("comp"), F.lit(None).cast("string").alias("split"), F.lit(1).cast("bigint").alias("weight"))
-        merged = before.union(came).groupBy("comp").agg(
-            F.min("split").alias("lo"), F.max("split").alias("hi"), F.sum("weight").alias("weight")
-        )
-        merged = cut(
-            merged.select("comp", F.when(F.col("lo") != F.col("hi"), QUARANTINE).otherwise(F.col("lo")).alias("split"), "weight")
-        )
-        members, keys = cut(members), cut(keys)
-        self.members, self.keys, self.comps = members, keys, cut(self._fill(merged))
+        weights = keys.where(F.col("key").startswith(_RECORD)).groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
+        if self.comps is None:
+            comps = weights.withColumn("split", F.lit(None).cast("string"))
+        else:
+            before = self.comps.join(roots, "comp", "left").groupBy(root.alias("comp")).agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
+            comps = weights.join(before, "comp", "left").withColumn("split", F.when(F.col("lo") != F.col("hi"), QUARANTINE).otherwise(F.col("lo")))
+        self.keys, self.comps = keys, cut(self._fill(cut(comps.select("comp", "split", "weight"))))
 
     def _fill(self, comps: DataFrame) -> DataFrame:
         """Gives components without a split one, so that the splits come near their proportions.
@@ -112,4 +108,8 @@ class SplitStore:
 
     def assigned(self) -> DataFrame:
         """id, comp (the smallest id of the component) and split of every record so far."""
-        return self.members.join(self.comps.select("comp", "split"), "comp").select("id", "comp", "split")
+        if self.keys is None:
+            return self.spark.createDataFrame([], "id bigint, comp bigint, split string")
+        mine = self.keys.where(F.col("key").startswith(_RECORD))
+        mine = mine.select(F.substring("key", len(_RECORD) + 1, 20).cast("bigint").alias("id"), "comp")
+        return mine.join(self.comps.select("comp", "split"), "comp").select("id", "comp", "split")
