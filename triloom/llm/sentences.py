@@ -28,8 +28,11 @@ from pyspark.sql import DataFrame
 
 WINDOW = 700
 AHEAD = 60
+NEAR = 48
 #: Quotations and brackets of more characters than this are not protected.
 LONGEST_SPAN = 600
+#: So many characters at most are taken as the rest of a quotation that the text's end cuts off.
+LONGEST_CUT = 200
 
 # Marks. Fixed values of Unicode's sentence terminals and paired punctuation.
 STOPS = r"[.!?。！？｡．۔։।॥؟።፧]|::|፡፡|‽"
@@ -93,15 +96,18 @@ def _any(table: dict[str, str], languages: str) -> str:
 
 
 class Rule:
-    __slots__ = ("after", "before", "breaks", "name")
+    __slots__ = ("after", "before", "breaks", "name", "wide")
 
     def __init__(self, name: str, breaks: bool, before: str, after: str):
         self.name, self.breaks = name, breaks
+        self.wide = before.startswith("\\A")  # it looks at the whole unit so far, the others at its last characters
         self.before = regex.compile(f"(?:{before})\\Z") if before else None
         self.after = regex.compile(after) if after else None
 
     def fits(self, before: str, after: str) -> bool:
-        return (self.after is None or self.after.match(after) is not None) and (self.before is None or self.before.search(before) is not None)
+        if self.after is not None and self.after.match(after) is None:
+            return False
+        return self.before is None or self.before.search(before if self.wide else before[-NEAR:]) is not None
 
 
 _GAP = r"[\s\xa0  ]*"
@@ -135,6 +141,11 @@ def tables() -> dict[str, list[Rule]]:
         Rule("abbreviation of single letters", False, rf"{_WORD}\p{{L}}\.", rf"{_GAP}\p{{L}}\."),
         Rule("initial", False, r"(?:\A|[\s\xa0.(«“„\"])\p{Lu}\.", rf"{_GAP}(?:\p{{Lu}}\.|\p{{Lu}}\p{{L}}|\p{{L}})"),
     ]
+    months = "Jan|Feb|März|Mär|Apr|Mai|Jun|Jul|Aug|Sep|Okt|Nov|Dez"
+    ordinal = [
+        Rule("day before a month", False, r"(?<!\p{Nd})\p{Nd}{1,2}\.", rf"{_GAP}(?:{months})"),
+        Rule("ordinal number", False, r"(?i:(?<!\p{L})(?:am|vom|zum|zur|der|den|dem|des|ab|bis|beim|seit dem|jeder|jede))\s\p{Nd}{1,2}\.", rf"{_GAP}\p{{Lu}}"),
+    ]
     decimal = [Rule("inside a number or a name", False, r"[\p{L}\p{Nd}_)]\.", r"[\p{Ll}\p{Nd}_]"), Rule("fullwidth decimal", False, r"\p{Nd}．", r"\p{Nd}")]
     quotes_cased = [
         Rule("quotation goes on", False, _QUOTE_END, rf"{_GAP}(?:[,;:،—–\-]|\p{{Ll}})"),
@@ -167,7 +178,7 @@ def tables() -> dict[str, list[Rule]]:
     strong = lambda marks: [Rule("full stop of the script", True, rf"(?:{marks})[!?！？՜]*", "")]
     single = lambda script: [Rule("single letter", False, rf"{_WORD}{script}\p{{M}}*\.", rf"{_GAP}[\p{{L}}\p{{Nd}}]")]
     out = {
-        "Latn": brackets + quotes_cased + cased + _abbreviations("Latn") + initial + decimal,
+        "Latn": brackets + quotes_cased + cased + _abbreviations("Latn") + initial + ordinal + decimal,
         "Cyrl": brackets + quotes_cased + cased + _abbreviations("Cyrl")
         + [Rule("number sign", False, r"\.", rf"{_GAP}№"), Rule("year or thousand", False, rf"{_WORD}(?:тыс|млн|млрд|руб|г|в|гг|вв)\.", rf"{_GAP}[\p{{Ll}})]")]
         + initial + decimal,
@@ -267,6 +278,11 @@ def _spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
                     break
                 depth -= 1
         if e < 0:
+            # a text that is cut off inside a quotation: the rest belongs to it
+            opens = (s == 0 or not text[s - 1].isalnum() or text[s - 1] > "\u2e80") and s + 1 < len(text) and (c == "«" or not text[s + 1].isspace())
+            if b == len(text) and b - s <= LONGEST_CUT and opens:
+                out.append((s, b + 1))
+                break
             i = s + 1
             continue
         out.append((s, e + 1))
