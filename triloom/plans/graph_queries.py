@@ -235,6 +235,20 @@ def predicted_cost(spark, sf_dir):
     return t.select("shape", F.round(sweep.predicted_ms(F.col("n"), F.col("edges")), 6).alias("ms"))
 
 
+#: Published times of a detection call: nodes, edges, milliseconds.
+COST_SAMPLES = ((400, 1600, 36.2), (400, 3200, 158.5), (400, 4000, 323.3), (800, 6400, 352.3), (1200, 9600, 600.7), (2000, 18400, 2120.6), (2000, 16000, 1187.8))
+
+
+def cost_model_error(spark, sf_dir):
+    samples = spark.createDataFrame(list(COST_SAMPLES), "n int, edges int, ms double")
+    return sweep.cost_model_error(samples).select(F.round("worst_error", 9).alias("worst_error"))
+
+
+def predicted_hours(spark, sf_dir):
+    t = table(spark, sf_dir, "shapes_table")
+    return sweep.predicted_hours(t, 924, 20).select("shape", F.round("hours", 9).alias("hours"))
+
+
 def _sweep(spark, sf_dir, at=(0, 10, 20)):
     shapes = table(spark, sf_dir, "shapes_table").where("shape IN ('u4x100z8', 'u4x100z16')")
     rings = cut(G.rings_of_text(shapes))
@@ -278,7 +292,7 @@ QUERIES = {
         communities, communities_distributed, community_sizes, community_order, node_overlap_count, uncovered_nodes, node_community,
         threshold_report, threshold_sweep_counts, graph_components, pair_counts, avg_threshold, representative_thresholds, omega_of_covers, omega_direct,
         ring_offsets, ring_truth, ring_lattice_edges, ring_edge_counts, shapes_rebuilt, overlap_contract, overlap_truth, plan_units, valid_configs,
-        shape_problems, predicted_cost, rewire_snapshots, sweep_argmax, adaptive_walk, label_propagation, speaker_listener, ego_communities,
+        shape_problems, predicted_cost, cost_model_error, predicted_hours, rewire_snapshots, sweep_argmax, adaptive_walk, label_propagation, speaker_listener, ego_communities,
     )
 }
 
@@ -392,6 +406,18 @@ ORACLE_SQL = {
        SELECT traj, shape, overlap_pct, run, CAST('0x' || substr(md5(traj), 1, 8) AS BIGINT) AS seed FROM u""",
     "valid_configs": "SELECT n, z, ring_size FROM unnest([400, 600]) a(n), unnest([4, 7, 8, 16]) b(z), unnest([8, 25, 50, 100]) c(ring_size) WHERE n % ring_size = 0 AND z % 2 = 0 AND z < ring_size",
     "predicted_cost": "SELECT shape, round(exp(-7.18 + 1.24 * ln(n) + 2.35 * ln(edges / n)), 6) AS ms FROM shapes_table",
-    "rewire_snapshots": None,
+    "cost_model_error": "SELECT round(max(abs(exp(-7.18 + 1.24 * ln(n) + 2.35 * ln(e / n)) / ms - 1)), 9) AS worst_error FROM (VALUES "
+    + ", ".join(f"({n}, {e}, {ms}::DOUBLE)" for n, e, ms in COST_SAMPLES) + ") v(n, e, ms)",
+    "predicted_hours": "SELECT shape, round(exp(-7.18 + 1.24 * ln(n) + 2.35 * ln(edges / n)) * 18480.0::DOUBLE * 1.92::DOUBLE / 3600000, 9) AS hours FROM shapes_table",
+    "threshold_sweep_counts": _GRAPH + """, tr AS (SELECT ct.a, ct.b, ct.c, least(q1.jaccard, q2.jaccard, q3.jaccard) AS strength FROM ct
+       JOIN ps q1 ON q1.x = a AND q1.y = b JOIN ps q2 ON q2.x = a AND q2.y = c JOIN ps q3 ON q3.x = b AND q3.y = c),
+       g(i, t) AS (VALUES (1, 0.1::DOUBLE), (2, 0.15::DOUBLE), (3, 0.2::DOUBLE)),
+       ta AS (SELECT i * 10000000000000000 AS o, a, b, c FROM tr JOIN g ON strength >= t),
+       lk AS (SELECT o + a * 1000000000 + b AS u, o + a * 1000000000 + c AS v FROM ta UNION SELECT o + a * 1000000000 + b, o + b * 1000000000 + c FROM ta),
+       l2 AS (SELECT u, v FROM lk UNION SELECT v, u FROM lk),
+       cc(id, lab) USING KEY (id) AS (SELECT DISTINCT u, u FROM l2
+         UNION SELECT l2.u, min(cc.lab) FROM cc JOIN l2 ON l2.v = cc.id JOIN recurring.cc AS now ON now.id = l2.u GROUP BY l2.u, now.lab HAVING min(cc.lab) < now.lab),
+       p AS (SELECT lab, id // 10000000000000000 AS i, id % 10000000000000000 AS q FROM cc),
+       cn AS (SELECT DISTINCT i, lab, node FROM (SELECT i, lab, q // 1000000000 AS node FROM p UNION ALL SELECT i, lab, q % 1000000000 FROM p))
+       SELECT g.t AS threshold, count(DISTINCT lab) AS communities, count(*) AS memberships FROM cn JOIN g USING (i) GROUP BY 1""",
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

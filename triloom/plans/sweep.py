@@ -96,6 +96,18 @@ def predicted_ms(n: F.Column, edges: F.Column, fit: tuple[float, float, float] =
     return F.exp(a + b * F.log(n.cast("double")) + c * F.log(edges / n))
 
 
+def cost_model_error(samples: DataFrame) -> DataFrame:
+    """worst_error: the largest relative error of the cost model over measured calls (n, edges, ms)."""
+    off = F.abs(predicted_ms(F.col("n"), F.col("edges")) / F.col("ms") - 1)
+    return samples.agg(F.max(off).alias("worst_error"))
+
+
+def predicted_hours(shapes: DataFrame, calls: int, units: int, overhead: float = 1.92) -> DataFrame:
+    """shape, hours: calls a unit, modelled milliseconds a call and the measured overhead, for all units."""
+    ms = predicted_ms(F.col("n"), F.col("edges"))
+    return shapes.select("shape", (ms * F.lit(float(calls * units)) * F.lit(overhead) / 3_600_000).alias("hours"))
+
+
 # -- one snapshot ----------------------------------------------------------------------
 
 
