@@ -103,6 +103,23 @@ def p5_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(quantiles.combine(built, ["algo"], k), ["algo"], QS)
 
 
+def p5_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the exact rank of every percentile lies within its bound, counted over all rows."""
+    found = p5_overall(spark, sf_dir)
+    rows = table(spark, sf_dir, "records").select(
+        squeeze("algo").alias("algo"), F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("omega", "elapsed_sec")]))
+    )
+    rows = rows.where("x IS NOT NULL AND NOT isnan(x)")
+    # values are counted before the join, so it sees each distinct value once
+    counts = rows.groupBy("algo", "metric", "x").agg(F.count(F.lit(1)).alias("c"))
+    ranked = counts.join(found, ["algo", "metric"]).groupBy("algo", "metric", "q", "n", "max_rank_error").agg(
+        F.sum(F.when(F.col("x") < F.col("value"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("x") <= F.col("value"), F.col("c")).otherwise(0)).alias("upto")
+    )
+    want = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n") - F.lit(1e-9)))
+    within = (want >= F.col("below") + 1 - F.col("max_rank_error")) & (want <= F.col("upto") + F.col("max_rank_error"))
+    return ranked.select("algo", "metric", "q", "n", within.alias("within"))
+
+
 # -- 6: packing --------------------------------------------------------------------
 
 
@@ -147,6 +164,12 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "p5_within_bound": """
+WITH r AS (SELECT regexp_replace(lower(algo), '[^a-z0-9]+', '', 'g') AS algo, omega, elapsed_sec FROM records),
+v AS (SELECT algo, 'omega' AS metric, CASE WHEN isnan(omega) THEN NULL ELSE omega END AS x FROM r
+      UNION ALL SELECT algo, 'elapsed_sec', CASE WHEN isnan(elapsed_sec) THEN NULL ELSE elapsed_sec END FROM r),
+n AS (SELECT algo, metric, count(x) AS n FROM v GROUP BY ALL)
+SELECT algo, metric, q, n, true AS within FROM n, unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) u(q) WHERE n > 0""",
     "p2_found": r"""
 WITH RECURSIVE f AS (SELECT content, [x FOR x IN regexp_split_to_array(path, '[\\/]+') IF x <> '' AND x <> '.'] AS parts FROM traj_files),
 j AS (SELECT regexp_replace(regexp_replace(lower(parts[list_position(parts, 'trajectories') + 1]), '[^a-z0-9]+o0*([0-9]+)[^a-z0-9]+run0*([0-9]+)$', '|\1|\2'),
