@@ -160,7 +160,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_splits, p5_percentiles, p5_overall, p6_packing, p6_report, p7_mixture, p7_shares, p8_found)
+    for f in (p2_found, p2_splits, p5_percentiles, p5_overall, p5_within_bound, p6_packing, p6_report, p7_mixture, p7_shares, p8_found)
 }
 
 ORACLE_SQL = {
