@@ -185,8 +185,8 @@ def test_reports(spark):
     assert R.p_crit_estimate(walks, [], "w", "score").first()[0] == pytest.approx(0.55)
     search = spark.createDataFrame([("s", 0.05, 0.2), ("s", 0.1, 0.4), ("s", 0.15, 0.3), ("s", 0.2, 0.9)], "g string, threshold double, p_crit_est double")
     assert R.coarse_peak(search, ["g"]).first()["t_best"] == 0.1
-    names = spark.createDataFrame([("zeta",), ("leiden",), ("alpha",), ("hypercommon",)], "algo string")
-    assert [x[0] for x in names.orderBy(R.algorithm_rank("algo")).collect()] == ["hypercommon", "leiden", "alpha", "zeta"]
+    names = spark.createDataFrame([("zeta",), ("leiden",), ("alpha",), ("demon",)], "algo string")
+    assert [x[0] for x in names.orderBy(R.algorithm_rank("algo")).collect()] == ["leiden", "demon", "alpha", "zeta"]
     assert R.run_mean_std(rows.where("g = 'q'"), "omega", ["g"]).count() == 0
 
 

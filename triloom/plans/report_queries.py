@@ -156,7 +156,7 @@ ORACLE_SQL = {
     "shape_terms": """SELECT shape, size, z, count(*) AS count FROM (SELECT shape, unnest(string_split(sizes, ' '))::INT AS size, unnest(string_split(zs, ' '))::INT AS z FROM shapes_table) GROUP BY ALL""",
     "shape_spec": """WITH t AS (SELECT shape, size, z, count(*) AS c FROM (SELECT shape, unnest(string_split(sizes, ' '))::INT AS size, unnest(string_split(zs, ' '))::INT AS z FROM shapes_table) GROUP BY ALL)
        SELECT shape, string_agg('(' || size || ',' || z || ')*' || c, ', ' ORDER BY size DESC, z DESC) AS spec, string_agg('(' || size || ',' || z || ')x' || c, '_' ORDER BY size DESC, z DESC) AS dirname FROM t GROUP BY 1""",
-    "algorithm_order": """SELECT algo, CAST(row_number() OVER (ORDER BY coalesce(list_position(['hypercommon', 'leiden', 'walktrap', 'demon', 'angel'], algo), 1000000), algo) AS INT) AS place FROM (SELECT DISTINCT algo FROM records)""",
+    "algorithm_order": """SELECT algo, CAST(row_number() OVER (ORDER BY coalesce(list_position(['leiden', 'walktrap', 'demon', 'angel'], algo), 1000000), algo) AS INT) AS place FROM (SELECT DISTINCT algo FROM records)""",
     "pivot_runs": _OK + "SELECT shape, overlap_pct, algo, p, "
     + ", ".join(f"max(o) FILTER (run = {r}) AS run_{r}, max(CASE WHEN isnan(t_argmax) THEN NULL ELSE t_argmax END) FILTER (run = {r}) AS t_run_{r}" for r in (1, 2, 3)) + " FROM v GROUP BY ALL",
     "pivot_thresholds": _OK + ", g AS (SELECT shape, printf('%.2f', t_argmax) AS t, round(avg(o), 9) AS m FROM v WHERE o IS NOT NULL GROUP BY shape, t_argmax) SELECT shape, "

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 SIGNAL_FLOOR = 0.02
 PLATEAU_SHARE = 0.95
 P_CRIT_LEVEL = 0.6
-#: The order in which known algorithms are shown; others follow by name.
-ALGORITHM_ORDER = ("hypercommon", "leiden", "walktrap", "demon", "angel")
+#: The order in which known baselines are shown; others follow by name.
+ALGORITHM_ORDER = ("leiden", "walktrap", "demon", "angel")
 
 
 def usable(x: Column | str) -> Column:
@@ -128,10 +128,10 @@ def shape_spec(shapes: DataFrame) -> DataFrame:
     return t.select("shape", F.array_join(F.transform("t", text("*")), ", ").alias("spec"), F.array_join(F.transform("t", text("x")), "_").alias("dirname"))
 
 
-def algorithm_rank(algo: Column | str) -> Column:
-    """Sort key: known algorithms in their order, then the others by name."""
+def algorithm_rank(algo: Column | str, order: Sequence[str] = ALGORITHM_ORDER) -> Column:
+    """Sort key: the algorithms of ``order`` in that order, then the others by name."""
     algo = F.col(algo) if isinstance(algo, str) else algo
-    known = F.array_position(F.array(*[F.lit(a) for a in ALGORITHM_ORDER]), algo)
+    known = F.array_position(F.array(*[F.lit(a) for a in order]), algo)
     return F.struct(F.when(known > 0, known).otherwise(F.lit(10**6)).alias("known"), algo.alias("name"))
 
 
