@@ -33,15 +33,15 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: A table of capacities is a setting; more rows than this are an error.
 MOST_PACKS = 1000
 
-_PLACED = "pack_name string, container_id bigint, doc_id bigint, piece_no int, start_token bigint, n_tokens bigint"
+_PLACED = "pack_name string, shard int, seq bigint, doc_id bigint, piece_no int, start_token bigint, n_tokens bigint"
 
 
 def measured(documents: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and a random deal ``u`` of every document with tokens, written down once."""
+    """doc_id, n_tokens, a row number and a random deal ``u`` of every document with tokens, written down once."""
     rows = documents.select("doc_id", "text").where("text IS NOT NULL AND text <> ''")
     sized = rows.select("doc_id", token_count("text", tokenizer_path).alias("n_tokens"))
-    deal = F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id())
-    return cut(sized.withColumn("u", deal).where("n_tokens > 0"))
+    numbered = sized.withColumn("row", F.monotonically_increasing_id()).where("n_tokens > 0")
+    return cut(numbered.withColumn("u", F.xxhash64("doc_id", "row")))
 
 
 def assign_sequences(lengths: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> np.ndarray:
@@ -91,7 +91,8 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "pack_name": pdf["pack_name"].to_numpy(),
-            "container_id": pdf["shard"].to_numpy(np.int64) * (1 << 32) + seq,
+            "shard": pdf["shard"].to_numpy(np.int32),
+            "seq": seq,
             "doc_id": pdf["doc_id"].to_numpy(),
             "piece_no": pdf["piece_no"].to_numpy(np.int32),
             "start_token": start,
@@ -103,9 +104,9 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 def pack(sized: DataFrame, packs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Every piece of every document with its container, for each capacity.
 
-    ``sized`` has doc_id, n_tokens and u (see ``measured``); ``packs`` pack_name and
-    capacity_tokens, a table of a few settings. ``start_token`` is the piece's place in
-    its container.
+    ``sized`` has doc_id, n_tokens, row and u (see ``measured``); ``packs`` pack_name and
+    capacity_tokens, a table of a few settings. ``container_id`` is unique within a
+    capacity, ``start_token`` the piece's place in its container.
     """
     total = sized.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
@@ -119,12 +120,11 @@ def pack(sized: DataFrame, packs: DataFrame, shard_tokens: int = SHARD_TOKENS) -
     full = F.when(F.col("n_tokens") > F.col("capacity_tokens"), full).otherwise(F.lit(0))
     items = items.withColumn("full", full).withColumn("rest", F.col("n_tokens") - F.col("full") * F.col("capacity_tokens"))
     alone = items.where("full > 0").select(
-        "pack_name", "doc_id", "u", "capacity_tokens", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece_no")
+        "pack_name", "doc_id", "row", "capacity_tokens", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece_no")
     )
     alone = alone.select(
         "pack_name",
-        # negative numbers: containers of one full piece, told apart by document place and piece
-        (-1 - F.abs(F.xxhash64("u", "doc_id", "piece_no") % F.lit(1 << 62))).alias("container_id"),
+        F.concat_ws("-", F.lit("full"), "row", "piece_no").alias("container_id"),
         "doc_id", F.col("piece_no").cast("int").alias("piece_no"), F.lit(0).cast("bigint").alias("start_token"),
         F.col("capacity_tokens").alias("n_tokens"),
     )
@@ -132,7 +132,9 @@ def pack(sized: DataFrame, packs: DataFrame, shard_tokens: int = SHARD_TOKENS) -
         "pack_name", "capacity_tokens", F.pmod("u", F.lit(shards)).cast("int").alias("shard"), "doc_id",
         F.col("full").cast("int").alias("piece_no"), F.col("rest").alias("n_tokens"),
     )
-    return rest.groupBy("pack_name", "shard").applyInPandas(_pack, _PLACED).unionByName(alone)
+    shared = rest.groupBy("pack_name", "shard").applyInPandas(_pack, _PLACED)
+    shared = shared.withColumn("container_id", F.concat_ws("-", "shard", "seq")).drop("shard", "seq")
+    return shared.unionByName(alone)
 
 
 def packing_report(placed: DataFrame, packs: DataFrame) -> DataFrame:
