@@ -21,7 +21,6 @@ changes nothing; further columns are carried along, whatever their names.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 
 from triloom.functions.naming import micro_units, squeeze, trajectory_key
 from triloom.runtime import cut, hadoop_path
+from triloom.sources.versions import VersionLog
 
 _OWN = ("__home", "__part")
 _LOST = "lost"
@@ -50,27 +50,12 @@ class DeliveryStore:
         loaded_at: str = "loaded_at",
     ):
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = VersionLog(spark, path)
         self.identifier, self.row_id, self.loaded_at = list(identifier), row_id, loaded_at
 
-    # -- manifest ---------------------------------------------------------------
-
     def state(self) -> dict:
         """The manifest: home -> directory of its current version, and what was applied."""
-        fs, folder = hadoop_path(self.spark, f"{self.path}/_manifest")
-        if not fs.exists(folder):
-            return {"version": 0, "homes": {}, "index": [], "applied": [], "dropped": []}
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        last = max(n for n in names if n.endswith(".json"))
-        return json.loads(self.spark.read.text(f"{self.path}/_manifest/{last}", wholetext=True).first()[0])
-
-    def _commit(self, state: dict) -> None:
-        fs, tmp = hadoop_path(self.spark, f"{self.path}/_manifest/.{state['version']:08d}.tmp")
-        _, final = hadoop_path(self.spark, f"{self.path}/_manifest/{state['version']:08d}.json")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(state), "utf-8"))
-        out.close()
-        if not fs.rename(tmp, final):
-            raise RuntimeError(f"version {state['version']} was committed by another writer")
+        return self.log.read() or {"version": 0, "homes": {}, "index": [], "applied": [], "dropped": []}
 
     # -- reading ----------------------------------------------------------------
 
@@ -147,7 +132,7 @@ class DeliveryStore:
             "applied": [*s["applied"], batch_name],
             "dropped": [*s["dropped"], f"{here}/data/__part={_LOST}"],
         }
-        self._commit(s)
+        self.log.commit(s)
         return s
 
     def _write(self, rows: DataFrame, best: DataFrame, to: str) -> int:
