@@ -13,7 +13,7 @@ from triloom.llm import quantiles as Q
 from triloom.llm import sentences as S
 from triloom.llm.splits import QUARANTINE, SplitStore
 from triloom.llm.tokens import count_tokens, token_count
-from triloom.runtime import cut
+from triloom.runtime import cut, new_table_dir
 
 TOK = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -57,9 +57,10 @@ def test_splits_follow_components(spark):
     rows += [(i, ["hot"]) for i in range(200, 300)] + [(300, []), (301, None)]
     df = spark.createDataFrame(rows, "id bigint, keys array<string>")
     for edges in ((0, 400), (0, 120, 250, 400)):
-        s = SplitStore(spark)
+        path = new_table_dir(spark, "splits")
         for a, b in zip(edges, edges[1:]):
-            s.update(df.where((F.col("id") >= a) & (F.col("id") < b)))
+            s = SplitStore(spark, path)  # opened again for every batch
+            s.update(df.where((F.col("id") >= a) & (F.col("id") < b)), f"{a}")
         got = {x["id"]: x for x in s.assigned().collect()}
         want = brute_groups(rows)
         assert {i: x["comp"] for i, x in got.items()} == want
@@ -70,25 +71,26 @@ def test_splits_follow_components(spark):
 
 
 def test_splits_are_kept_and_conflicts_quarantined(spark):
-    s = SplitStore(spark, {"train": 0.5, "test": 0.5})
+    s = SplitStore(spark, new_table_dir(spark, "splits"), {"train": 0.5, "test": 0.5})
     first = spark.createDataFrame([(i, [f"k{i}"]) for i in range(100)], "id bigint, keys array<string>")
-    s.update(first)
+    s.update(first, "first")
     before = {r["id"]: r["split"] for r in s.assigned().collect()}
     assert 45 <= sum(v == "train" for v in before.values()) <= 55
     a = next(i for i, v in before.items() if v == "train")
     b = next(i for i, v in before.items() if v == "test")
     c = next(i for i, v in before.items() if v == "train" and i != a)
-    s.update(spark.createDataFrame([(200, [f"k{a}", f"k{b}"]), (201, [f"k{c}"]), (202, ["new"]), (a, ["extra"])], "id bigint, keys array<string>"))
+    s.update(spark.createDataFrame([(200, [f"k{a}", f"k{b}"]), (201, [f"k{c}"]), (202, ["new"]), (a, ["extra"])], "id bigint, keys array<string>"), "second")
     after = {r["id"]: r["split"] for r in s.assigned().collect()}
     assert after[a] == after[b] == after[200] == QUARANTINE
     assert after[201] == before[c] == after[c]
     assert after[202] in ("train", "test")
     assert all(after[i] == v for i, v in before.items() if i not in (a, b))
-    s.update(first.where("id < 0"))
+    s.update(first.where("id < 0"), "nothing")
+    s.update(first.select((F.col("id") + 900).alias("id"), "keys"), "first")
     assert {r["id"]: r["split"] for r in s.assigned().collect()} == after
-    assert SplitStore(spark).assigned().count() == 0
+    assert SplitStore(spark, new_table_dir(spark, "splits")).assigned().count() == 0
     with pytest.raises(ValueError):
-        SplitStore(spark, {})
+        SplitStore(spark, "nowhere", {})
 
 
 # -- 5: percentiles ------------------------------------------------------------------

@@ -9,7 +9,7 @@ from triloom.functions.naming import complete_object, path_parts, squeeze, traje
 from triloom.llm import mixing, packing, quantiles
 from triloom.llm.sentences import sentence_units
 from triloom.llm.splits import SplitStore
-from triloom.runtime import cut
+from triloom.runtime import cut, new_table_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +58,13 @@ def related_records(manifest: DataFrame, files: DataFrame) -> DataFrame:
 def _split_store(spark: SparkSession, sf_dir: str) -> SplitStore:
     """The manifest as it grew: the first 80 % of the ids, then the rest."""
     rows = cut(related_records(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "traj_files").select("path", "content")))
-    store = SplitStore(spark)
+    store = SplitStore(spark, new_table_dir(spark, "splits"))
     lo, hi = rows.agg(F.min("id"), F.max("id")).first()
     if lo is None:
         return store
     edges = [lo, *[lo + int((hi - lo) * s) for s in (0.8,)], hi + 1]
     for a, b in zip(edges, edges[1:]):
-        store.update(rows.where(F.col("id").between(a, b - 1)))
+        store.update(rows.where(F.col("id").between(a, b - 1)), f"from-{a}")
     return store
 
 

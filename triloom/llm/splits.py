@@ -27,35 +27,55 @@ from pyspark.sql import functions as F
 from triloom.functions.prefix import bucketed_running_sum
 from triloom.operators.components import contract
 from triloom.runtime import cut
+from triloom.sources.versions import VersionLog
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 QUARANTINE = "quarantine"
+_TABLES = {"keys": "key string, comp bigint", "comps": "comp bigint, split string, weight bigint"}
 _RECORD = "r"  # before a record's own key; other keys have k
 #: New components are put in order in this many slots by size and hash.
 SLOTS = 1024
 
 
 class SplitStore:
-    """Two tables, each written down: keys (key, comp), where a record is a key of its own, and comps (comp, split, weight)."""
+    """Two tables at ``path``: keys (key, comp), where a record is a key of its own, and comps (comp, split, weight).
 
-    def __init__(self, spark: SparkSession, proportions: Mapping[str, float] = SPLITS):
+    Every update writes both anew and switches to them by one rename, so a store can be
+    opened again later, and an update that fails changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, proportions: Mapping[str, float] = SPLITS):
         if not proportions or any(p < 0 for p in proportions.values()) or sum(proportions.values()) <= 0:
             raise ValueError("proportions must not be negative, and not all zero")
         total = sum(proportions.values())
         self.proportions = {k: v / total for k, v in proportions.items()}
-        self.spark = spark
-        self.keys: DataFrame | None = None
-        self.comps: DataFrame | None = None
-
-    def update(self, batch: DataFrame) -> None:
-        """Merges records: ``id`` bigint and ``keys`` array of strings."""
+        self.spark, self.path = spark, path.rstrip("/")
+        self.log = VersionLog(spark, path)
+
+    def state(self) -> dict:
+        return self.log.read() or {"version": 0, "applied": []}
+
+    def _tables(self, s: dict) -> tuple[DataFrame | None, DataFrame | None]:
+        if not s["version"]:
+            return None, None
+        here = f"{self.path}/v{s['version']:08d}"
+        return tuple(self.spark.read.schema(schema).parquet(f"{here}/{name}") for name, schema in _TABLES.items())
+
+    def update(self, batch: DataFrame, name: str) -> None:
+        """Merges records: ``id`` bigint and ``keys`` array of strings. A batch name is applied once."""
+        s = self.state()
+        if name in s["applied"]:
+            return
+        old_keys, old_comps = self._tables(s)
+        version = s["version"] + 1
+        here = f"{self.path}/v{version:08d}"
         own = F.concat(F.lit(_RECORD), F.col("id").cast("string"))
         named = F.transform(F.array_compact(F.coalesce("keys", F.array().cast("array<string>"))), lambda k: F.concat(F.lit("k"), k))
         pairs = batch.where("id IS NOT NULL").select("id", F.explode(F.array_append(named, own)).alias("key"))
-        if self.keys is None:
+        if old_keys is None:
             known = pairs.withColumn("comp", F.lit(None).cast("bigint"))
         else:
-            known = pairs.join(self.keys, "key", "left")
+            known = pairs.join(old_keys, "key", "left")
         known = cut(known.select("id", "key", "comp"))
         # a key joins the component that has it, and all records of the batch that have it
         low = known.groupBy("key").agg(F.min(F.least("id", F.coalesce("comp", "id"))).alias("low"))
@@ -64,18 +84,21 @@ class SplitStore:
         roots = contract(links).withColumnRenamed("node", "comp")
         root = F.coalesce("root", "comp")
         keys = known.select("key", F.coalesce("comp", "id").alias("comp"))
-        if self.keys is not None:
-            keys = keys.unionByName(self.keys)
+        if old_keys is not None:
+            keys = keys.unionByName(old_keys)
         keys = keys.groupBy("key").agg(F.min("comp").alias("comp"))
-        keys = cut(keys.join(roots, "comp", "left").select("key", root.alias("comp")))
+        keys.join(roots, "comp", "left").select("key", root.alias("comp")).write.mode("overwrite").parquet(f"{here}/keys")
+        keys = self.spark.read.schema(_TABLES["keys"]).parquet(f"{here}/keys")
         # components: what was there under its new name, and how many records came to it
         weights = keys.where(F.col("key").startswith(_RECORD)).groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
-        if self.comps is None:
+        if old_comps is None:
             comps = weights.withColumn("split", F.lit(None).cast("string"))
         else:
-            before = self.comps.join(roots, "comp", "left").groupBy(root.alias("comp")).agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
+            before = old_comps.join(roots, "comp", "left").groupBy(root.alias("comp")).agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
             comps = weights.join(before, "comp", "left").withColumn("split", F.when(F.col("lo") != F.col("hi"), QUARANTINE).otherwise(F.col("lo")))
-        self.keys, self.comps = keys, cut(self._fill(cut(comps.select("comp", "split", "weight"))))
+        filled = self._fill(cut(comps.select("comp", "split", "weight")))
+        filled.write.mode("overwrite").parquet(f"{here}/comps")
+        self.log.commit({"version": version, "applied": [*s["applied"], name]})
 
     def _fill(self, comps: DataFrame) -> DataFrame:
         """Gives components without a split one, so that the splits come near their proportions.
@@ -108,8 +131,9 @@ class SplitStore:
 
     def assigned(self) -> DataFrame:
         """id, comp (the smallest id of the component) and split of every record so far."""
-        if self.keys is None:
+        keys, comps = self._tables(self.state())
+        if keys is None:
             return self.spark.createDataFrame([], "id bigint, comp bigint, split string")
-        mine = self.keys.where(F.col("key").startswith(_RECORD))
+        mine = keys.where(F.col("key").startswith(_RECORD))
         mine = mine.select(F.substring("key", len(_RECORD) + 1, 20).cast("bigint").alias("id"), "comp")
-        return mine.join(self.comps.select("comp", "split"), "comp").select("id", "comp", "split")
+        return mine.join(comps.select("comp", "split"), "comp").select("id", "comp", "split")
