@@ -139,6 +139,9 @@ def test_local_community(spark):
     assert {23, 25, 47} <= set(got)
     with pytest.raises(ValueError, match="not in the graph"):
         C.get_node_community(e, S.closed_neighborhood_jaccard(0.2), 99)
+    chain = graph(spark, [p for i in range(0, 12, 1) for p in ((i, i + 1), (i, i + 2))])  # a long community, so the ball has to grow
+    far = C.get_node_community(chain, S.closed_neighborhood_jaccard(0.3), 0)
+    assert sorted(r[0] for r in far.collect()) == sets(C.get_communities(chain, S.closed_neighborhood_jaccard(0.3)))[0]
     alone = spark.createDataFrame([(7,)], "node bigint")
     assert C.get_node_community(graph(spark, TRIANGLE), S.closed_neighborhood_jaccard(0.0), 7, alone).count() == 0
 

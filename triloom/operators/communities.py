@@ -144,17 +144,25 @@ def community_order(triples: DataFrame, communities: DataFrame, by: Sequence[str
     return first.select(*by, "community_id", F.row_number().over(Window.partitionBy(*by).orderBy("first")).alias("rank"))
 
 
-def get_node_community(edges: DataFrame, predicate, seed, nodes: DataFrame | None = None) -> DataFrame:
-    """node: one community that contains ``seed``, by expanding from its first triple; empty if it is in none.
+class _Within:
+    """A predicate on the pairs whose both nodes lie in a ball."""
 
-    The first triple is the first with the seed as center, else the first path seed - u -
-    k, neighbours in ascending order. Each round adds the triples that hold a pair of the
-    frontier; only their pairs are walked, visited ones are left out. A seed that is no
-    node raises.
-    """
-    if not node_table(edges, nodes).where(F.col("node") == F.lit(seed)).take(1):
-        raise ValueError(f"node {seed!r} is not in the graph")
-    t = cut(admissible_triples(edges, predicate, nodes).select("a", "b", "c", "center", "n_edges", "x", "y"))
+    def __init__(self, predicate, ball: DataFrame):
+        self.predicate, self.ball = predicate, ball
+
+    def qualified(self, edges: DataFrame, nodes: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+        q = self.predicate.qualified(edges, nodes, by)
+        for s in "xy":
+            q = q.join(self.ball.select(F.col("node").alias(s)), s, "left_semi")
+        return q
+
+
+def _around(adj: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes and their neighbours."""
+    return nodes.select("node").unionAll(adj.join(nodes, "node", "left_semi").select(F.col("nbr").alias("node"))).distinct()
+
+
+def _first_triple(t: DataFrame, seed) -> DataFrame:
     s = F.lit(seed)
     mine = t.where((F.col("a") == s) | (F.col("b") == s) | (F.col("c") == s))
     rest = F.array_sort(F.filter(F.array("a", "b", "c"), lambda n: n != s))
@@ -162,17 +170,47 @@ def get_node_community(edges: DataFrame, predicate, seed, nodes: DataFrame | Non
     key = F.when(centered, F.struct(F.lit(0).alias("k"), rest[0].alias("u"), rest[1].alias("v")))
     other = F.when(rest[0] == F.col("center"), rest[1]).otherwise(rest[0])
     key = key.otherwise(F.struct(F.lit(1).alias("k"), F.col("center").alias("u"), other.alias("v")))
+    return mine.orderBy(key).limit(1)
+
+
+def _expand(t: DataFrame, seed) -> DataFrame:
+    """a, b, c: the triples reached from the seed's first one over shared pairs."""
     pairs = cut(triple_pairs(t))
-    seen = cut(triple_pairs(mine.orderBy(key).limit(1)).select("x", "y", "a", "b", "c"))
-    frontier = seen.select("x", "y").distinct()
+    members = cut(_first_triple(t, seed).select("a", "b", "c"))
+    frontier = cut(triple_pairs(members).select("x", "y").distinct())
     done = frontier
-    members = seen
     while frontier.take(1):
         found = pairs.join(frontier, ["x", "y"]).select("a", "b", "c").distinct()
-        members = cut(members.select("a", "b", "c").unionAll(found).distinct())
+        members = cut(members.unionAll(found).distinct())
         frontier = cut(triple_pairs(found).select("x", "y").distinct().join(done, ["x", "y"], "left_anti"))
         done = cut(done.unionAll(frontier))
-    return members.select(F.explode(F.array("a", "b", "c")).alias("node")).distinct()
+    return members
+
+
+def get_node_community(edges: DataFrame, predicate, seed, nodes: DataFrame | None = None) -> DataFrame:
+    """node: one community that contains ``seed``, by expanding from its first triple; empty if it is in none.
+
+    The first triple is the first with the seed as center, else the first path seed - u -
+    k, neighbours in ascending order. Only a ball around the seed is looked at: its
+    triples are expanded pair by pair, pairs once visited are left out, and the ball grows
+    until it holds all neighbours of the members. The cost follows the community, not
+    the graph. A seed that is no node raises.
+    """
+    if not node_table(edges, nodes).where(F.col("node") == F.lit(seed)).take(1):
+        raise ValueError(f"node {seed!r} is not in the graph")
+    adj = adjacency(edges)
+    start = node_table(edges, nodes).where(F.col("node") == F.lit(seed))
+    ball = cut(_around(adj, _around(adj, start)))
+    while True:
+        # all edges at nodes of the ball: their degrees and common neighbours are exact
+        near = adj.join(ball, "node", "left_semi")
+        near = near.select(F.least("node", "nbr").alias("src"), F.greatest("node", "nbr").alias("dst")).distinct()
+        t = cut(admissible_triples(cut(near), _Within(predicate, ball), nodes).select("a", "b", "c", "center", "n_edges", "x", "y"))
+        members = _expand(t, seed).select(F.explode(F.array("a", "b", "c")).alias("node")).distinct()
+        reach = cut(_around(adj, members))
+        if not reach.join(ball, "node", "left_anti").take(1):
+            return members
+        ball = cut(ball.unionAll(reach).distinct())
 
 
 # -- the triple graph itself ---------------------------------------------------------
