@@ -10,7 +10,7 @@ from triloom.runtime import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(4, "tests", shuffle=4)
+    s = local_session(8, "tests", shuffle=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
