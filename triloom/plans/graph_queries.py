@@ -173,10 +173,8 @@ def omega_of_covers(spark, sf_dir):
 
 
 def omega_direct(spark, sf_dir):
-    truth, found, _ = _covers(spark, sf_dir)
-    low = lambda d: d.where("node <= 1000")  # noqa: E731 - the direct form is quadratic in a community: a cross-check
-    n = spark.createDataFrame([(1000,)], "n bigint")
-    return O.omega_direct(low(truth), low(found), n).select(F.round("omega", 9).alias("omega"))
+    """The same over all customers by the counts of every pair: quadratic in a community, a cross-check."""
+    return O.omega_direct(*_covers(spark, sf_dir)).select(F.round("omega", 9).alias("omega"))
 
 
 def _rings(spark, sf_dir):
