@@ -5,6 +5,7 @@ import itertools
 import pytest
 
 from triloom.plans import graph_queries as Q
+from triloom.plans import sweep
 
 
 def brute_omega(a, b, nodes):
@@ -29,3 +30,21 @@ def test_omega_direct_takes_all_customers(spark, tmp_path):
     want = brute_omega(groups(rows, 1), [*groups(rows, 2), {r[0] for r in rows if r[3] < 0}], [r[0] for r in rows])
     assert Q.omega_direct(spark, str(tmp_path)).first()[0] == pytest.approx(want, abs=1e-8)
     assert Q.omega_of_covers(spark, str(tmp_path)).first()[0] == pytest.approx(want, abs=1e-8)
+
+
+def test_sweeps_take_all_shapes_and_steps(spark, tmp_path):
+    shapes = [("unequal", "30 20", "4 4"), ("u4x100z8", "25 25", "4 4")]
+    spark.createDataFrame(shapes, "shape string, sizes string, zs string").write.parquet(f"{tmp_path}/shapes_table.parquet")
+    every = {(f"{s}_o{o:02d}_run{r}", step) for s, _, _ in shapes for o in (0, 5) for r in (1, 2) for step in range(101)}
+    edges = {(r["traj"], r["step"]): r["edges"] for r in Q.rewire_snapshots(spark, str(tmp_path)).collect()}
+    assert set(edges) == every
+    assert all(edges[t, 0] == n for (t, _), n in edges.items())
+    assert {n for (t, _), n in edges.items() if "_o00_" in t} == {100}
+    best = {(r["traj"], r["step"]): r for r in Q.sweep_argmax(spark, str(tmp_path)).collect()}
+    assert set(best) == every
+    walk = {(r["traj"], r["step"]): r for r in Q.adaptive_walk(spark, str(tmp_path)).collect()}
+    assert set(walk) == every
+    for (t, step), r in walk.items():
+        before = walk[t, step - 1]["t_argmax"] if step else None
+        assert r["t_grid_size"] == len(sweep.t_grid_adaptive(before))
+        assert r["omega"] <= best[t, step]["omega_at_argmax"]

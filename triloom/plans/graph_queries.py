@@ -247,11 +247,12 @@ def predicted_hours(spark, sf_dir):
     return sweep.predicted_hours(t, 924, 20).select("shape", F.round("hours", 9).alias("hours"))
 
 
-def _sweep(spark, sf_dir, at=(0, 10, 20)):
-    shapes = table(spark, sf_dir, "shapes_table").where("shape IN ('u4x100z8', 'u4x100z16')")
+def _sweep(spark, sf_dir):
+    """Snapshots and truth of all shapes after each of 100 steps and before the first."""
+    shapes = table(spark, sf_dir, "shapes_table")
     rings = cut(G.rings_of_text(shapes))
     units = cut(sweep.plan_units(shapes, [0, 5], 2))
-    return sweep.build_units(units, rings, 100, at=list(at))
+    return sweep.build_units(units, rings, 100)
 
 
 def rewire_snapshots(spark, sf_dir):
