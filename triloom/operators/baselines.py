@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triloom.operators.components import components
 from triloom.operators.graph import adjacency, node_table
 from triloom.runtime import cut
 
@@ -53,8 +54,10 @@ def speaker_listener(edges: DataFrame, rounds: int = 20, least: float = 0.1, see
 def ego_communities(edges: DataFrame, merge: float = 0.25, rounds: int = 10) -> DataFrame:
     """community_id, node: label propagation inside every node's neighbourhood, groups merged where they overlap.
 
-    A group is merged into a larger one that holds at least 1 - ``merge`` of it. Egos are
-    worked out one task each.
+    A group of three or more is merged into the largest that holds at least 1 - ``merge`` of
+    it (then the one that shares most, then the smallest id; of equal groups the one with
+    the smaller id counts as larger). What is merged so, in chains too, is one community with
+    the members of all. Egos are worked out one task each.
     """
     adj = adjacency(edges)
     ego = adj.select(F.col("node").alias("ego"), F.col("nbr").alias("node"))
@@ -80,11 +83,13 @@ def ego_communities(edges: DataFrame, merge: float = 0.25, rounds: int = 10) ->
 
     kind = dict(ego.dtypes)["node"]
     groups = cut(inside.groupBy("ego").applyInPandas(run, f"community_id string, node {kind}"))
-    size = groups.groupBy("community_id").agg(F.count(F.lit(1)).alias("m"), F.sort_array(F.collect_set("node")).alias("members"))
-    groups = groups.join(size.select("community_id", "m"), "community_id")
+    size = groups.groupBy("community_id").agg(F.count(F.lit(1)).alias("m")).where("m >= 3")
+    groups = cut(groups.join(size, "community_id"))
     shared = groups.select(F.col("community_id").alias("c1"), F.col("m").alias("m1"), "node").join(
         groups.select(F.col("community_id").alias("c2"), F.col("m").alias("m2"), "node"), "node"
     )
-    covered = shared.where("m1 < m2 OR (m1 = m2 AND c1 > c2)").groupBy("c1", "c2", "m1").agg(F.count(F.lit(1)).alias("s"))
-    gone = covered.where(F.col("s") >= (1 - F.lit(merge)) * F.col("m1")).select(F.col("c1").alias("community_id")).distinct()
-    return groups.join(gone, "community_id", "left_anti").where("m >= 3").select("community_id", "node")
+    covered = shared.where("m1 < m2 OR (m1 = m2 AND c1 > c2)").groupBy("c1", "c2", "m1", "m2").agg(F.count(F.lit(1)).alias("s"))
+    covered = covered.where(F.col("s") >= (1 - F.lit(merge)) * F.col("m1"))
+    into = covered.groupBy("c1").agg(F.min_by("c2", F.struct(-F.col("m2"), -F.col("s"), "c2")).alias("c2"))
+    named = components(into, groups.select(F.col("community_id").alias("node")), "c1", "c2").withColumnRenamed("node", "community_id")
+    return groups.join(named, "community_id").select(F.col("root").alias("community_id"), "node").distinct()
