@@ -90,12 +90,17 @@ def algorithm_order(spark, sf_dir):
 
 
 def pivot_runs(spark, sf_dir):
-    return R.pivot_runs(_records(spark, sf_dir), ["shape", "overlap_pct", "algo", "p"], [1, 2, 3])
+    """Columns for every run number that occurs."""
+    runs = sorted(r["run"] for r in _records(spark, sf_dir).where("run IS NOT NULL").select("run").distinct().collect())
+    return R.pivot_runs(_records(spark, sf_dir), ["shape", "overlap_pct", "algo", "p"], runs)
 
 
 def pivot_thresholds(spark, sf_dir):
-    g = _records(spark, sf_dir).where("omega IS NOT NULL AND NOT isnan(omega)").groupBy("shape", F.col("t_argmax").alias("t")).agg(F.round(F.avg("omega"), 9).alias("omega"))
-    return R.pivot_thresholds(g, ["shape"], [0.1, 0.2, 0.3])
+    """A column for every t that occurs, to two decimals."""
+    ok = _records(spark, sf_dir).where("omega IS NOT NULL AND NOT isnan(omega)")
+    g = ok.groupBy("shape", F.round("t_argmax", 2).alias("t")).agg(F.round(F.avg("omega"), 9).alias("omega"))
+    ts = sorted(r["t"] for r in g.where("t IS NOT NULL AND NOT isnan(t)").select("t").distinct().collect())
+    return R.pivot_thresholds(g, ["shape"], ts)
 
 
 def p_slices(spark, sf_dir):
