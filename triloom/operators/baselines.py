@@ -7,6 +7,8 @@ among its neighbours, ties by a seeded hash. Covers are long tables
 
 from __future__ import annotations
 
+import warnings
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +24,37 @@ def _vote(heard: DataFrame, seed: int, round_no: int) -> DataFrame:
     return counted.groupBy("node").agg(F.max_by("label", F.struct("c", F.xxhash64(F.lit(seed), F.lit(round_no), "label"))).alias("label"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 20, seed: int = 1) -> DataFrame:
-    """community_id, node: every node in one community. A node hears its neighbours and itself."""
+def label_propagation(edges: DataFrame, rounds: int | None = None, seed: int = 1) -> DataFrame:
+    """community_id, node: every node in one community. A node hears its neighbours and itself.
+
+    Ties go by one hash in all rounds, so a round depends on the labels only. It goes on until none moves. When the labels of an earlier round come back,
+    only nodes without a moving neighbour of a greater hash move from then on: every move
+    then adds edges within labels, so it ends. ``rounds`` stops it early, which warns.
+    """
     adj = cut(adjacency(edges))
     labels = cut(node_table(edges).select("node", F.col("node").alias("label")))
-    for r in range(rounds):
+    known: set = set()
+    apart = False
+    r = 0
+    while rounds is None or r < rounds:
+        r += 1
         heard = adj.join(labels.withColumnRenamed("node", "nbr"), "nbr").select("node", "label").unionAll(labels)
-        new = cut(_vote(heard, seed, r))
-        moved = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").take(1)
-        labels = new
-        if not moved:
-            break
+        counted = heard.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c")).join(labels.withColumnRenamed("label", "old"), "node")
+        rank = F.struct("c", F.xxhash64(F.lit(seed), "label"), "label")
+        moved = cut(counted.groupBy("node").agg(F.max_by("label", rank).alias("new"), F.first("old").alias("old")).where("new <> old").select("node", "new"))
+        if not moved.take(1):
+            return labels.select(F.col("label").alias("community_id"), "node")
+        if apart:
+            order = F.struct(F.xxhash64(F.lit(seed), F.lit(r), "node"), F.col("node").alias("node"))
+            near = adj.join(moved.select(F.col("node").alias("nbr"), order.alias("theirs")), "nbr")
+            first = near.groupBy("node").agg(F.max("theirs").alias("theirs"))
+            moved = moved.join(first, "node", "left").where(F.col("theirs").isNull() | (order > F.col("theirs"))).select("node", "new")
+        labels = cut(labels.join(moved, "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+        if not apart:
+            digest = labels.agg(*[F.sum(F.xxhash64(F.lit(k), "node", "label").cast("decimal(38,0)")) for k in (1, 2)]).first()
+            apart = tuple(digest) in known
+            known.add(tuple(digest))
+    warnings.warn(f"label propagation stopped after {rounds} rounds before it settled", stacklevel=2)
     return labels.select(F.col("label").alias("community_id"), "node")
 
 

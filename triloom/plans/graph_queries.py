@@ -272,11 +272,11 @@ def adaptive_walk(spark, sf_dir):
 
 
 def label_propagation(spark, sf_dir):
-    return baselines.label_propagation(part_graph(spark, sf_dir), rounds=8)
+    return baselines.label_propagation(part_graph(spark, sf_dir))
 
 
 def speaker_listener(spark, sf_dir):
-    return baselines.speaker_listener(part_graph(spark, sf_dir), rounds=6)
+    return baselines.speaker_listener(part_graph(spark, sf_dir))
 
 
 def ego_communities(spark, sf_dir):
