@@ -154,17 +154,17 @@ def test_drift_of_files(spark):
     for i, (text, want) in enumerate(CASES):
         assert got.get(i, set()) == set(want or []), text
     assert D.drift_report(df.where("file_id < 0"), "file_id", "content", D.INIT_META, "x").count() == 0
-    flat = {r["file_id"]: r for r in D.unify(df, "content", D.INIT_META, ["file_id", "signature"]).collect()}
+    flat = {r["file_id"]: r for r in D.unify(df, "content", D.INIT_META, ["file_id", "signature"], {"shape": "named"}).collect()}
     assert flat[5]["sizes"] == [1.0, 2.0]
     assert flat[11]["shape"] == "s"
     assert len(flat) == sum(w is not None for _, w in CASES)
 
 
 def test_drift_of_rows(spark):
-    base = {"overlap": 0.1, "n": 4, "z": 2, "ring_size": 2, "t_best": 0.1, "p": 0.0, "score": 1.0}
+    base = {"overlap": 0.1, "n": 4, "z": 2, "ring_size": 2, "t_best": 0.1, "p": 0.0, "score": 0.913842}
     without = lambda *k: {a: b for a, b in base.items() if a not in k}
     rows = [
-        (1, base), (1, base | {"overlap": "0,02"}), (2, without("overlap") | {"overlap_pct": 3}), (2, base), (3, without("score") | {"omega": 0.5, "score_std": 0.1}),
+        (1, base), (1, base | {"overlap": "0,02"}), (2, without("overlap") | {"overlap_pct": 3}), (2, base), (3, without("score") | {"omega": 0.513842, "score_std": 0.1}),
         (4, without("n") | {"n_nodes": 4, "n_runs": 20}), (5, without("t_best")), (5, without("t_best")), (6, without("t_best")), (6, base), (7, without("overlap") | {"ovl": "9 %"}),
     ]
     df = spark.createDataFrame([(f, i, json.dumps(o)) for i, (f, o) in enumerate(rows)], "file_id bigint, row_id bigint, payload string")
@@ -175,15 +175,47 @@ def test_drift_of_rows(spark):
         1: {("overlap", "retyped")}, 2: {("overlap", "renamed")}, 3: {("score", "renamed"), ("score_std", "added")}, 4: {("n", "renamed"), ("n_runs", "added")},
         5: {("t_best", "removed")}, 7: {("overlap", "renamed"), ("overlap", "retyped")},
     }
-    flat = {r["row_id"]: r["overlap"] for r in D.unify(df, "payload", D.P_SWEEP, ["row_id"]).collect()}
+    flat = {r["row_id"]: r["overlap"] for r in D.unify(df, "payload", D.P_SWEEP, ["row_id"], {"overlap": "fraction"}).collect()}
     assert [flat[1], flat[2], flat[10]] == pytest.approx([0.02, 0.03, 0.09])
 
 
 def test_flooding_converges():
     tree = D.parse_tree("OBJECT<layout: OBJECT<shape: STRING, sizes: ARRAY<NUM>>, n: NUM>")
     assert tree == ((("layout",), "object"), (("layout", "shape"), "text"), (("layout", "sizes"), "list<number>"), (("n",), "number"))
-    scores = D.flood(tree, D.INIT_META)
-    assert scores[(("layout", "sizes"), ("sizes",))][0] > scores.get((("n",), ("sizes",)), (0,))[0]
+    scores = D.flood(tree, tuple(D.INIT_META.items()), ())
+    assert scores[("layout", "sizes"), "sizes"] > D.LEAST > scores[("n",), "sizes"]
+
+
+RENAMED = "OBJECT<M: NUM, layout: OBJECT<shape: STRING>, nNodes: NUM, n_runs: NUM, ring_sizes: ARRAY<NUM>, omega: NUM>"
+
+
+def test_flooded_scores_decide(monkeypatch):
+    """Without the flow there is no match, and with the same score for all pairs there are others."""
+    reference = {"n": D.NUM, "shape": D.TEXT, "sizes": D.NUM_LIST, "score": D.NUM}
+    evidence = [("omega", "score", 0.9), ("n_runs", "score", 0.2)]
+    found = D.correspondences(D.parse_tree(RENAMED), reference, evidence)
+    assert found == {"n": ("nNodes",), "shape": ("layout", "shape"), "sizes": ("ring_sizes",), "score": ("omega",)}
+    monkeypatch.setattr(D, "flood", lambda members, fields, profiles: {(p, f): 0.5 for p, _ in members for f, _ in fields})
+    assert D.correspondences(D.parse_tree(RENAMED), reference, evidence) != found
+    monkeypatch.undo()
+    for share in ("FROM_NAME", "FROM_KIND", "FROM_PROFILE", "FROM_CARRIER"):
+        monkeypatch.setattr(D, share, 0.0)
+    D.flood.cache_clear()
+    assert D.correspondences(D.parse_tree(RENAMED), reference, evidence) == {}
+    D.flood.cache_clear()
+
+
+def test_profiles_decide_between_equal_names():
+    reference = {"n": D.NUM}
+    tree = D.parse_tree("OBJECT<n_nodes: NUM, n_runs: NUM>")
+    assert D.correspondences(tree, reference, [("n_nodes", "n", 0.9)]) == {"n": ("n_nodes",)}
+    assert D.correspondences(tree, reference, [("n_runs", "n", 0.9)]) == {"n": ("n_runs",)}
+
+
+def test_values_without_meaning_have_no_form(spark):
+    rows = spark.createDataFrame([(x,) for x in (None, "", " ", "[]", "0.930", "400", "12345", "0,1", "a b1", "[8, 16,8]")], "x string")
+    got = [r[0] for r in rows.select(D.value_form(F.col("x"))).collect()]
+    assert got == [None, None, None, None, "0.999", "400", "99999", "0,9", "a a9", "[9]"]
 
 
 def test_file_group_report(spark):
