@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from triloom.operators.deliveries import DeliveryStore, merge_deliveries, record_identifier
 from triloom.operators.schema_drift import INIT_META, NUM, NUM_LIST, P_SWEEP, drift_report, unify
+from triloom.plans.reports import usable
 from triloom.runtime import new_table_dir
 from triloom.sources.compaction import consolidate
 
@@ -44,7 +45,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "records").select("rec_id", "run_id", "p", "algo", "loaded_at", "omega", "elapsed_sec")
-    return _delivered(spark, rows).current().select("rec_id", "omega", "elapsed_sec")
+    return _delivered(spark, rows).current().select("rec_id", usable("omega").alias("omega"), "elapsed_sec")
 
 
 def _init_meta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +137,7 @@ def _changes_sql(origin: str, reference: dict[str, str], paths: dict[str, str],
 
 def _number_sql(field: str) -> str:
     """The field's number, out of v: text with a decimal comma, in brackets or as a percentage, a seed in hexadecimal."""
-    bare = """TRY_CAST(replace(regexp_replace(x->>'$', '[\[\]"\s%]', '', 'g'), ',', '.') AS DOUBLE)"""
+    bare = r"""TRY_CAST(replace(regexp_replace(x->>'$', '[\[\]"\s%]', '', 'g'), ',', '.') AS DOUBLE)"""
     if field == "overlap":
         return f"CASE WHEN name ILIKE '%pct' OR contains(x->>'$', '%') THEN {bare} / 100 ELSE {bare} END"
     if field == "seed":
@@ -157,5 +158,5 @@ ORACLE_SQL = {
     + """SELECT kind, count(*) AS records_read, count(DISTINCT traj_id || '/' || p_milli) AS distinct_records,
                 count(DISTINCT traj_id || '/' || p_milli) AS written FROM r GROUP BY kind""",
     "p3_found": _COPIES + "SELECT rec_id FROM w WHERE nth > 1",
-    "p3_current": _COPIES + "SELECT rec_id, omega, elapsed_sec FROM w WHERE nth = 1",
+    "p3_current": _COPIES + "SELECT rec_id, CASE WHEN isnan(omega) THEN NULL ELSE omega END AS omega, elapsed_sec FROM w WHERE nth = 1",
 }

@@ -296,24 +296,24 @@ QUERIES = {
 }
 
 _GRAPH = """
-WITH RECURSIVE op AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
-e AS (SELECT a.p AS src, b.p AS dst FROM op a JOIN op b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= 2),
-adj AS (SELECT src AS node, dst AS nbr FROM e UNION ALL SELECT dst, src FROM e),
+WITH RECURSIVE op AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+e AS MATERIALIZED (SELECT a.p AS src, b.p AS dst FROM op a JOIN op b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= 2),
+adj AS MATERIALIZED (SELECT src AS node, dst AS nbr FROM e UNION ALL SELECT dst, src FROM e),
 deg AS (SELECT node, count(*) AS d FROM adj GROUP BY 1),
-w AS (SELECT a.node AS k, a.nbr AS x, b.nbr AS y FROM adj a JOIN adj b ON a.node = b.node AND a.nbr < b.nbr),
+w AS MATERIALIZED (SELECT a.node AS k, a.nbr AS x, b.nbr AS y FROM adj a JOIN adj b ON a.node = b.node AND a.nbr < b.nbr),
 cm AS (SELECT x, y, count(*) AS common FROM w GROUP BY 1, 2),
 pr AS (SELECT coalesce(cm.x, e.src) AS x, coalesce(cm.y, e.dst) AS y, coalesce(common, 0) AS common, CAST(e.src IS NOT NULL AS INT) AS adjacent
        FROM cm FULL JOIN e ON cm.x = e.src AND cm.y = e.dst),
-ps AS (SELECT x, y, common, adjacent, dx.d AS deg_x, dy.d AS deg_y,
+ps AS MATERIALIZED (SELECT x, y, common, adjacent, dx.d AS deg_x, dy.d AS deg_y,
        CAST(common + 2 * adjacent AS DOUBLE) / CAST(dx.d + dy.d + 2 - common - 2 * adjacent AS DOUBLE) AS jaccard,
        CAST(common AS DOUBLE) / CAST(dx.d + dy.d - common AS DOUBLE) AS open_jaccard
        FROM pr JOIN deg dx ON dx.node = x JOIN deg dy ON dy.node = y),
-ct AS (SELECT l[1] AS a, l[2] AS b, l[3] AS c, count(*) AS centers, min([k, x, y]) AS key FROM (SELECT list_sort([k, x, y]) AS l, k, x, y FROM w) GROUP BY ALL)
+ct AS MATERIALIZED (SELECT l[1] AS a, l[2] AS b, l[3] AS c, count(*) AS centers, min([k, x, y]) AS key FROM (SELECT list_sort([k, x, y]) AS l, k, x, y FROM w) GROUP BY ALL)
 """
 _TRIPLES = _GRAPH + """,
-tr AS (SELECT ct.a, ct.b, ct.c, ct.key, least(q1.jaccard, q2.jaccard, q3.jaccard) AS strength FROM ct
+tr AS MATERIALIZED (SELECT ct.a, ct.b, ct.c, ct.key, least(q1.jaccard, q2.jaccard, q3.jaccard) AS strength FROM ct
        JOIN ps q1 ON q1.x = a AND q1.y = b JOIN ps q2 ON q2.x = a AND q2.y = c JOIN ps q3 ON q3.x = b AND q3.y = c),
-ta AS (SELECT * FROM tr WHERE strength >= 0.15),
+ta AS MATERIALIZED (SELECT * FROM tr WHERE strength >= 0.15),
 tp AS (SELECT a AS x, b AS y, a, b, c, key FROM ta UNION ALL SELECT a, c, a, b, c, key FROM ta UNION ALL SELECT b, c, a, b, c, key FROM ta),
 m AS (SELECT x, y, count(*) AS m FROM tp GROUP BY 1, 2)
 """
@@ -392,7 +392,7 @@ ORACLE_SQL = {
     "representative_thresholds": _GRAPH + """, s AS (SELECT min(src) AS s FROM e) SELECT DISTINCT round(t, 9) AS threshold FROM (SELECT jaccard AS t FROM ps, s WHERE x = s OR y = s
        UNION ALL SELECT 0.0 UNION ALL SELECT 1.0 UNION ALL SELECT sum(jaccard) / count(*) * 0.6 FROM ps)""",
     "omega_of_covers": _OMEGA.format(cover="SELECT * FROM customer", n="(SELECT count(*) FROM customer)"),
-    "omega_direct": _OMEGA.format(cover="SELECT * FROM customer WHERE c_custkey <= 1000", n="1000"),
+    "omega_direct": _OMEGA.format(cover="SELECT * FROM customer", n="(SELECT count(*) FROM customer)"),
     "ring_offsets": _RINGS + 'SELECT shape, ring, size, z, "offset" FROM o',
     "ring_truth": _RINGS + "SELECT * FROM tn",
     "ring_lattice_edges": _RINGS + "SELECT * FROM e",

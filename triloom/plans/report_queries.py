@@ -36,7 +36,7 @@ def averaged_curves(spark, sf_dir):
 
 def records_dedupe_last(spark, sf_dir):
     rows = _records(spark, sf_dir).select("run_id", "p", "algo", "omega", "loaded_at", "rec_id")
-    return R.dedupe_last(rows, ["run_id", "p", "algo"], [F.col("loaded_at"), F.col("rec_id")]).select("rec_id", "omega")
+    return R.dedupe_last(rows, ["run_id", "p", "algo"], [F.col("loaded_at"), F.col("rec_id")]).select("rec_id", R.usable("omega").alias("omega"))
 
 
 def argmax_p(spark, sf_dir):
@@ -98,7 +98,7 @@ def pivot_runs(spark, sf_dir):
 def pivot_thresholds(spark, sf_dir):
     """A column for every t that occurs, to two decimals."""
     ok = _records(spark, sf_dir).where("omega IS NOT NULL AND NOT isnan(omega)")
-    g = ok.groupBy("shape", F.round("t_argmax", 2).alias("t")).agg(F.round(F.avg("omega"), 9).alias("omega"))
+    g = ok.groupBy("shape", F.round("t_argmax", 2).alias("t")).agg(F.round(F.avg("omega"), 11).alias("omega"))
     ts = sorted(r["t"] for r in g.where("t IS NOT NULL AND NOT isnan(t)").select("t").distinct().collect())
     return R.pivot_thresholds(g, ["shape"], ts)
 
@@ -143,7 +143,7 @@ ORACLE_SQL = {
     "strict_mean": _OK + """, g AS (SELECT shape, algo, count(omega) AS k, count(o) AS good, avg(o) AS m, stddev_pop(o) AS s FROM v GROUP BY ALL)
        SELECT shape, algo, CASE WHEN good < k THEN NULL ELSE round(m, 9) END AS mean, CASE WHEN good < k THEN NULL ELSE round(s, 9) END AS std FROM g WHERE k > 0""",
     "averaged_curves": _CURVE + "SELECT shape, overlap_pct, algo, p, round(omega_mean, 11) AS omega_mean FROM c",
-    "records_dedupe_last": "SELECT rec_id, omega FROM (SELECT *, row_number() OVER (PARTITION BY run_id, p, algo ORDER BY loaded_at DESC, rec_id DESC) AS nth FROM records) WHERE nth = 1",
+    "records_dedupe_last": "SELECT rec_id, CASE WHEN isnan(omega) THEN NULL ELSE omega END AS omega FROM (SELECT *, row_number() OVER (PARTITION BY run_id, p, algo ORDER BY loaded_at DESC, rec_id DESC) AS nth FROM records) WHERE nth = 1",
     "argmax_p": _OK + "SELECT run_id, algo, p AS t_argmax, o AS omega_at_argmax FROM (SELECT *, row_number() OVER (PARTITION BY run_id, algo ORDER BY o DESC, p) AS nth FROM v WHERE o IS NOT NULL) WHERE nth = 1",
     "argmax_floor": _OK + """SELECT shape, algo, CASE WHEN o <= 0.95 THEN 'nan'::DOUBLE ELSE p END AS t_argmax, o AS omega_at_argmax
        FROM (SELECT *, row_number() OVER (PARTITION BY shape, algo ORDER BY o DESC, p) AS nth FROM v WHERE o IS NOT NULL) WHERE nth = 1""",
@@ -162,10 +162,12 @@ ORACLE_SQL = {
     "shape_spec": """WITH t AS (SELECT shape, size, z, count(*) AS c FROM (SELECT shape, unnest(string_split(sizes, ' '))::INT AS size, unnest(string_split(zs, ' '))::INT AS z FROM shapes_table) GROUP BY ALL)
        SELECT shape, string_agg('(' || size || ',' || z || ')*' || c, ', ' ORDER BY size DESC, z DESC) AS spec, string_agg('(' || size || ',' || z || ')x' || c, '_' ORDER BY size DESC, z DESC) AS dirname FROM t GROUP BY 1""",
     "algorithm_order": """SELECT algo, CAST(row_number() OVER (ORDER BY coalesce(list_position(['leiden', 'walktrap', 'demon', 'angel'], algo), 1000000), algo) AS INT) AS place FROM (SELECT DISTINCT algo FROM records)""",
-    "pivot_runs": _OK + "SELECT shape, overlap_pct, algo, p, "
-    + ", ".join(f"max(o) FILTER (run = {r}) AS run_{r}, max(CASE WHEN isnan(t_argmax) THEN NULL ELSE t_argmax END) FILTER (run = {r}) AS t_run_{r}" for r in (1, 2, 3)) + " FROM v GROUP BY ALL",
-    "pivot_thresholds": _OK + ", g AS (SELECT shape, printf('%.2f', t_argmax) AS t, round(avg(o), 9) AS m FROM v WHERE o IS NOT NULL GROUP BY shape, t_argmax) SELECT shape, "
-    + ", ".join(f"max(m) FILTER (t = '{t}') AS \"t={t}\"" for t in ("0.10", "0.20", "0.30")) + " FROM g GROUP BY 1",
+    "pivot_runs": _OK + """, l AS (SELECT shape, overlap_pct, algo, p, 'run_' || coalesce(run, min(run) OVER ()) AS k, CASE WHEN run IS NOT NULL THEN o END AS x FROM v
+       UNION ALL SELECT shape, overlap_pct, algo, p, 't_run_' || coalesce(run, min(run) OVER ()), CASE WHEN run IS NOT NULL AND NOT isnan(t_argmax) THEN t_argmax END FROM v)
+       SELECT * FROM (PIVOT l ON k USING max(x) GROUP BY shape, overlap_pct, algo, p)""",
+    "pivot_thresholds": _OK + """, g AS (SELECT shape, round(t_argmax, 2) AS t, round(avg(o), 11) AS m FROM v WHERE o IS NOT NULL GROUP BY ALL),
+       l AS (SELECT shape, 't=' || printf('%.2f', coalesce(t, min(t) OVER ())) AS k, CASE WHEN t IS NOT NULL THEN m END AS m FROM g)
+       SELECT * FROM (PIVOT l ON k USING max(m) GROUP BY shape)""",
     "p_slices": "SELECT step, algo, count(*) AS rows FROM records WHERE step IN (0, 25, 50) GROUP BY ALL",
     "resume_anti_join": r"""WITH d AS (SELECT regexp_split_to_array(path, '[\\/]+') AS s FROM traj_files)
        SELECT DISTINCT lower(traj_id) AS traj FROM manifest WHERE lower(traj_id) NOT IN (SELECT s[list_position(s, 'trajectories') + 1] FROM d WHERE s[len(s)] = 'done')""",
