@@ -295,3 +295,41 @@ def test_sentence_edges(spark):
     got = sorted(map(tuple, S.sentence_units(df).collect()), key=str)
     assert len(got) == 2 * len(S.split("A. B c. D")) + 2
     assert S.sentence_units(df.where("doc_id > 9")).count() == 0
+
+
+@pytest.mark.parametrize("sentences", [5, 30, 3000])
+def test_long_quotations_are_protected(sentences):
+    inside = "The cat is here. " * sentences
+    for a, b in ("“”", "«»", '""', "()"):
+        text = f"Umbrathe says {a}{inside.strip()}{b} for now. Next one."
+        assert [text[s:e] for s, e in S.split(text)] == [text[: -len(" Next one.")], "Next one."]
+    cut_off = f"Umbrathe wrote: “{inside.strip()}"
+    assert S.split(cut_off) == [(0, len(cut_off))]
+
+
+def test_contexts_have_no_bound():
+    for blanks in (1, 70, 5000):
+        text = "The end." + " " * blanks + "Next one."
+        assert S.split(text) == [(0, 8), (8 + blanks, len(text))]
+    assert len(S.split("One two" + " three" * 500 + ". Next one.")) == 2
+    assert len(S.split("समूह है। " + "1234 5678 " * 100 + "। लेखा है।")) == 3
+
+
+def test_abbreviations_of_the_language():
+    assert len(S.split("The list of the edges is in the file, Fig. 3 shows that.")) == 1
+    assert len(S.split("La arista está en la red por el umbral, fig. 3 no es del anillo.")) == 1
+    turkish = "Listede tohumlar, yollar vs. 3. adımda dosya eşiği bölüyor."
+    assert len(S.split(turkish)) == 2
+    assert len(S.split(turkish.replace("Listede tohumlar, yollar", "The log and the file"))) == 1
+
+
+@pytest.mark.parametrize("piece", ["“", "(a ", "a.", "Dr. ", '"a. ', "กา (ก ", "x1.", "环形。", "(है|) "])
+def test_time_grows_with_length(piece):
+    import time
+
+    took = []
+    for n in (4_000, 40_000):
+        t = time.process_time()
+        S.split(piece * n)
+        took.append(time.process_time() - t)
+    assert took[1] < 30 * max(took[0], 0.05)
