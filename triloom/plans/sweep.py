@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triloom.runtime import hadoop_path
+from triloom.runtime import default_partitions, hadoop_path
 from triloom.sources import generators as G
 
 
@@ -152,66 +152,76 @@ def snapshot_triples(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.n
     return ids, triples, np.minimum(np.minimum(legs[0], legs[1]), j3)[keep]
 
 
-def nested_covers(triples: np.ndarray, strength: np.ndarray, n: int, thresholds: Sequence[float]) -> dict[float, list[np.ndarray]]:
-    """threshold -> communities as arrays of positions; triples are added once, in falling strength."""
+def _merge(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``parent`` with the links u - v added; all trees are stars before and after, their roots the smallest members."""
+    while len(u):
+        x, y = parent[u], parent[v]
+        apart = x != y
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return parent
+
+
+def nested_covers(triples: np.ndarray, strength: np.ndarray, n: int, thresholds: Sequence[float]) -> dict[float, tuple[np.ndarray, np.ndarray]]:
+    """threshold -> (community, node), a row for each member; triples are added once, in falling strength.
+
+    Thresholds between which no triple is added share one object.
+    """
     key = lambda i, j: triples[:, i] * n + triples[:, j]
     pairs, flat = np.unique(np.stack([key(0, 1), key(0, 2), key(1, 2)], axis=1), return_inverse=True)
     flat = flat.reshape(-1, 3)
     order = np.argsort(-strength, kind="stable")
-    parent = list(range(len(pairs)))
-
-    def root(p: int) -> int:
-        while parent[p] != p:
-            parent[p] = parent[parent[p]]
-            p = parent[p]
-        return p
-
-    out: dict[float, list[np.ndarray]] = {}
-    at, last = 0, None
-    tri = flat.tolist()
-    ranked = order.tolist()
-    falling = strength[order]
+    falling = -strength[order]
+    parent = np.arange(len(pairs))
+    members = np.zeros(0, dtype=np.int64)  # root * n + node
+    out: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+    at, last = 0, (members, members)
     for t in sorted(thresholds, reverse=True):
-        upto = int(np.searchsorted(-falling, -t, side="right"))
-        if upto == at and last is not None:
-            out[t] = last
-            continue
-        for i in ranked[at:upto]:
-            p, q, r = tri[i]
-            a, b, c = root(p), root(q), root(r)
-            low = min(a, b, c)
-            parent[a] = parent[b] = parent[c] = low
-        at = upto
-        used = order[:at]
-        if not len(used):
-            last = []
-        else:
-            roots = np.fromiter((root(p) for p in flat[used, 0].tolist()), dtype=np.int64, count=len(used))
-            member = np.unique(np.repeat(roots, 3) * n + triples[used].ravel())
-            cut_at = np.flatnonzero(np.diff(member // n)) + 1
-            last = np.split(member % n, cut_at)
+        upto = int(np.searchsorted(falling, -t, side="right"))
+        if upto > at:
+            new = order[at:upto]
+            f = flat[new]
+            parent = _merge(parent, np.concatenate([f[:, 0], f[:, 0]]), np.concatenate([f[:, 1], f[:, 2]]))
+            grown = np.concatenate([parent[members // n] * n + members % n, (parent[f[:, 0]][:, None] * n + triples[new]).ravel()])
+            members = np.unique(grown)
+            last = (np.unique(members // n, return_inverse=True)[1], members % n)
+            at = upto
         out[t] = last
     return out
 
 
-def omega_of_covers(truth: list[np.ndarray], found: list[np.ndarray], n: int, total_nodes: int) -> float:
-    """Omega of two covers given as arrays of positions below n, among ``total_nodes`` nodes."""
-    sig: dict[int, list[int]] = {}
-    for k, c in enumerate([*truth, *found]):
-        for i in c.tolist():
-            sig.setdefault(i, []).append(k)
-    classes: dict[tuple, int] = {}
-    for s in sig.values():
-        s = tuple(s)
-        classes[s] = classes.get(s, 0) + 1
-    names = list(classes)
-    size = np.array([classes[s] for s in names], dtype=np.float64)
-    width = len(truth) + len(found)
-    inc = np.zeros((len(names), width))
-    for i, s in enumerate(names):
-        inc[i, list(s)] = 1
-    c1 = (inc[:, : len(truth)] @ inc[:, : len(truth)].T).astype(np.int64)
-    c2 = (inc[:, len(truth) :] @ inc[:, len(truth) :].T).astype(np.int64)
+#: Random weights of communities; the sum over a node's communities tells its class.
+_WEIGHTS = np.random.default_rng(1).integers(1, 1 << 62, size=(2, 1 << 16), dtype=np.int64)
+
+
+def _shared(community: np.ndarray, row: np.ndarray, keep: np.ndarray, rows: int) -> np.ndarray:
+    """How many communities two rows have in common, from the members (community, row) that ``keep`` marks."""
+    width = int(community.max(initial=-1)) + 1
+    inside = np.zeros((rows, width), dtype=np.float32)
+    inside[row[keep], community[keep]] = 1
+    return np.rint(inside @ inside.T).astype(np.int32)
+
+
+def omega_of_covers(truth: tuple[np.ndarray, np.ndarray], found: tuple[np.ndarray, np.ndarray], n: int, total_nodes: int) -> float:
+    """Omega of two covers, members (community, node) with nodes below n, among ``total_nodes`` nodes.
+
+    Nodes with the same communities in both covers are one class; classes are compared, not nodes.
+    """
+    sums = np.zeros((2, n), dtype=np.int64)
+    many = max(int(c.max(initial=-1)) for c, _ in (truth, found)) + 1
+    w = _WEIGHTS if 2 * many <= _WEIGHTS.shape[1] else np.random.default_rng(1).integers(1, 1 << 62, size=(2, 2 * many), dtype=np.int64)
+    for k in (0, 1):
+        np.add.at(sums[k], truth[1], w[k][truth[0]])
+        np.add.at(sums[k], found[1], w[k][many + found[0]])
+    _, first, kind, size = np.unique(sums[0] ^ (sums[1] << 1), return_index=True, return_inverse=True, return_counts=True)
+    rows = len(first)
+    one = np.zeros(n, dtype=bool)
+    one[first] = True
+    c1 = _shared(truth[0], kind[truth[1]], one[truth[1]], rows)
+    c2 = _shared(found[0], kind[found[1]], one[found[1]], rows)
+    size = size.astype(np.float64)
     weight = np.outer(size, size) / 2
     np.fill_diagonal(weight, size * (size - 1) / 2)
     total = total_nodes * (total_nodes - 1) / 2
@@ -219,18 +229,21 @@ def omega_of_covers(truth: list[np.ndarray], found: list[np.ndarray], n: int, to
     if rest < 0:
         raise ValueError("total_pairs is smaller than the number of observed pairs")
     top = int(max(c1.max(initial=0), c2.max(initial=0))) + 1
-    f1 = np.bincount(c1.ravel(), weights=weight.ravel(), minlength=top)
-    f2 = np.bincount(c2.ravel(), weights=weight.ravel(), minlength=top)
-    f1[0] += rest
-    f2[0] += rest
-    observed = (weight[c1 == c2].sum() + rest) / total
-    expected = float((f1 / total) @ (f2 / total))
+    joint = np.bincount((c1 * top + c2).ravel(), weights=weight.ravel(), minlength=top * top).reshape(top, top)
+    joint[0, 0] += rest
+    observed = float(np.trace(joint)) / total
+    expected = float((joint.sum(axis=1) / total) @ (joint.sum(axis=0) / total))
     return 1.0 if expected == 1.0 else float((observed - expected) / (1 - expected))
 
 
 SWEEP_SCHEMA = "traj string, step int, t_idx int, t double, omega double, n_communities int"
 
 
+def snapshot_tasks(spark: SparkSession) -> int:
+    """Tasks to deal snapshots to: as many as a shuffle has, and four for every core."""
+    return max(default_partitions(spark), 4 * spark.sparkContext.defaultParallelism)
+
+
 def sweep_snapshots(snaps: DataFrame, truth: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """traj, step, t_idx, t, omega, n_communities of every snapshot and threshold.
 
@@ -239,31 +252,30 @@ def sweep_snapshots(snaps: DataFrame, truth: DataFrame, thresholds: Sequence[flo
     """
     grid = [float(t) for t in thresholds]
     packed = truth.groupBy("traj").agg(
-        F.collect_list(F.struct(F.col("community_id").cast("int").alias("c"), F.col("node").cast("bigint").alias("v"))).alias("truth")
-    )
+        F.collect_list(F.struct(F.col("community_id").cast("int").alias("c"), F.col("node").cast("bigint").alias("v"))).alias("w")
+    ).select("traj", F.col("w.c").alias("comm"), F.col("w.v").alias("node"))
     edges = snaps.groupBy("traj", "step").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"))
-    rows = edges.join(packed, "traj").repartition("traj", "step")
+    # a number of its own: many snapshots are few bytes, and must not be put together in one task for that
+    rows = edges.join(packed, "traj").repartition(snapshot_tasks(snaps.sparkSession), "traj", "step")
 
     def run(batches):
         for b in batches:
             out = []
-            for traj, step, src, dst, tr in zip(b["traj"], b["step"], b["src"], b["dst"], b["truth"]):
+            for traj, step, src, dst, comm, node in zip(b["traj"], b["step"], b["src"], b["dst"], b["comm"], b["node"]):
                 ids, triples, strength = snapshot_triples(np.asarray(src, dtype=np.int64), np.asarray(dst, dtype=np.int64))
-                comm = np.array([x["c"] for x in tr])
-                node = np.array([x["v"] for x in tr], dtype=np.int64)
                 every, pos = np.unique(np.concatenate([ids, node]), return_inverse=True)
                 place = pos[: len(ids)]
-                true = [pos[len(ids) :][comm == c] for c in np.unique(comm)]
+                true = (np.unique(comm, return_inverse=True)[1], pos[len(ids) :])
                 covers = nested_covers(triples, strength, len(ids), grid)
                 known: dict[int, tuple[float, int]] = {}
                 for i, t in enumerate(grid):
                     cover = covers[t]
                     if id(cover) not in known:
                         try:
-                            w = omega_of_covers(true, [place[c] for c in cover], len(every), len(every))
+                            w = omega_of_covers(true, (cover[0], place[cover[1]]), len(every), len(every))
                         except (ValueError, ZeroDivisionError):
                             w = float("nan")
-                        known[id(cover)] = (w, len(cover))
+                        known[id(cover)] = (w, int(cover[0].max(initial=-1)) + 1)
                     out.append((traj, int(step), i, t, *known[id(cover)]))
             yield pd.DataFrame(out, columns=["traj", "step", "t_idx", "t", "omega", "n_communities"])
 
