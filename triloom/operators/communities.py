@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +18,6 @@ from triloom.operators.components import contract
 from triloom.operators.graph import adjacency, node_table, wedges
 from triloom.runtime import cut
 
-#: Graphs with at most this many triples are joined up in one task each; larger ones are distributed.
-SMALL_GRAPH = 200_000
-
-
 def _sorted3(a, b, c) -> list[F.Column]:
     s = F.sort_array(F.array(a, b, c))
     return [s[0].alias("a"), s[1].alias("b"), s[2].alias("c")]
@@ -63,66 +58,19 @@ def _pair(x: str, y: str, by: Sequence[str]) -> F.Column:
     return F.struct(*[F.col(c).alias(c) for c in by], F.col(x).alias("x"), F.col(y).alias("y"))
 
 
-def _union_find(by: Sequence[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf[["a", "b", "c"]].sort_values(["a", "b", "c"])
-        a, b, c = (t[k].tolist() for k in "abc")
-        parent: dict = {}
-
-        def root(p):
-            r = p
-            while parent.setdefault(r, r) != r:
-                r = parent[r]
-            while parent[p] != r:
-                parent[p], p = r, parent[p]
-            return r
-
-        for p, q, r in zip(a, b, c):
-            ends = [root((p, q)), root((p, r)), root((q, r))]
-            low = min(ends)
-            for e in ends:
-                parent[e] = low
-        rows = sorted({(root((p, q)), n) for p, q, r in zip(a, b, c) for n in (p, q, r)})
-        head = [[pdf[k].iloc[0]] * len(rows) for k in by]
-        return pd.DataFrame({**dict(zip(by, head)), "rx": [r[0][0] for r in rows], "ry": [r[0][1] for r in rows], "node": [r[1] for r in rows]})
-
-    return run
-
-
-def communities_of_triples(triples: DataFrame, by: Sequence[str] = (), small: int = SMALL_GRAPH) -> DataFrame:
+def communities_of_triples(triples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``by``, community_id, node. The id is the smallest pair of the component, ``x-y``.
 
-    Communities of equal members keep their own ids. Graphs of at most ``small`` triples
-    take one task each (bounded by that count), the others the distributed contraction.
+    Communities of equal members keep their own ids. All graphs go through one contraction.
     """
-    by = list(by)
     t = cut(triples.select(*by, "a", "b", "c"))
-    kind = t.schema["a"].dataType.simpleString()
-    schema = ", ".join([*[f"`{c}` {d}" for c, d in t.dtypes if c in by], f"rx {kind}, ry {kind}, node {kind}"])
-    sizes = t.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    name = F.concat_ws("-", "rx", "ry").alias("community_id")
-    if by:
-        large = sizes.where(F.col("__n") > F.lit(small)).select(*by)
-        any_large = bool(large.take(1))
-        few = t.join(large, by, "left_anti") if any_large else t
-        many = t.join(large, by, "left_semi") if any_large else None
-    else:
-        any_large = (sizes.first()["__n"] if sizes.take(1) else 0) > small
-        few, many = (None, t) if any_large else (t, None)
-    out = None
-    if few is not None:
-        out = few.groupBy(*by).applyInPandas(_union_find(by), schema).select(*by, name, "node")
-    if many is not None:
-        links = many.select(_pair("a", "b", by).alias("p"), _pair("a", "c", by).alias("q")).unionAll(
-            many.select(_pair("a", "b", by).alias("p"), _pair("b", "c", by).alias("q"))
-        )
-        roots = contract(links, "p", "q")
-        ab = many.select(_pair("a", "b", by).alias("node"), "a", "b", "c").join(roots, "node", "left")
-        ab = ab.withColumn("root", F.coalesce("root", "node"))
-        big = ab.select(*[F.col(f"root.{c}").alias(c) for c in by], F.col("root.x").alias("rx"), F.col("root.y").alias("ry"), F.explode(F.array("a", "b", "c")).alias("node"))
-        big = big.select(*by, name, "node").distinct()
-        out = big if out is None else out.unionByName(big)
-    return out
+    links = t.select(F.inline(F.array(
+        F.struct(_pair("a", "b", by).alias("p"), _pair("a", "c", by).alias("q")), F.struct(_pair("a", "b", by).alias("p"), _pair("b", "c", by).alias("q")),
+    )))
+    roots = contract(links, "p", "q")
+    ab = t.select(_pair("a", "b", by).alias("node"), "a", "b", "c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    out = ab.select(*[F.col(f"root.{c}").alias(c) for c in by], F.concat_ws("-", "root.x", "root.y").alias("community_id"), F.explode(F.array("a", "b", "c")).alias("node"))
+    return out.distinct()
 
 
 def get_communities(edges: DataFrame, predicate, nodes: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -6,54 +6,17 @@ log2 n jumps), and replaces the links by links between roots. Each round at leas
 the nodes of every component, so links and labels shrink geometrically. Only
 aggregates with map-side combine and equi-joins against unique keys are used: a node
 with very many links is folded before the shuffle, and adaptive skew handling may split
-the other side of a join. Lineage is cut by reliable checkpoints. Once at most
-``LOCAL_LINKS`` links are left (counted, so bounded), the same rounds are finished on
-arrays in one task, which saves the jobs of the last small rounds.
+the other side of a join. Lineage is cut by tables in the shared folder, and what a round wants
+to know (whether anything moved, how many links are left) is observed while they are
+written. There is one way for all sizes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql import types as T
-
-from triloom.runtime import cut
-
-#: So many links are 8 MB of arrays or so.
-LOCAL_LINKS = 500_000
-
-
-def hook_and_jump(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) of the nodes that are not the smallest of their component."""
-    nodes, at = np.unique(np.concatenate([hi, lo]), return_inverse=True)
-    a, b = at[: len(hi)], at[len(hi) :]
-    parent = np.arange(len(nodes))
-    while True:
-        x, y = parent[a], parent[b]
-        if (x == y).all():
-            break
-        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-    moved = parent != np.arange(len(nodes))
-    return nodes[moved], nodes[parent[moved]]
-
-
-def _finish(edges: DataFrame) -> DataFrame:
-    """(hi, lo) of few links to (hi, root), in one task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if parts:
-            node, root = hook_and_jump(*(np.concatenate([p[c].to_numpy() for p in parts]) for c in ("hi", "lo")))
-            yield pd.DataFrame({"hi": node, "lo": root})
-
-    return cut(edges.coalesce(1).mapInPandas(run, edges.schema))
+from triloom.runtime import settle
 
 
 def _jump(parents: DataFrame) -> DataFrame:
@@ -63,49 +26,47 @@ def _jump(parents: DataFrame) -> DataFrame:
         up = now.select(F.col("hi").alias("lo"), F.col("lo").alias("up"))
         twice = now.join(up, "lo", "left").select("hi", F.coalesce("up", "lo").alias("lo"))
         up = twice.select(F.col("hi").alias("lo"), F.col("lo").alias("up"))
-        jumped = cut(twice.join(up, "lo", "left").select("hi", F.coalesce("up", "lo").alias("lo"), F.col("up").isNotNull().alias("moved")))
-        now = jumped.select("hi", "lo")
-        if not jumped.where("moved").take(1):
+        jumped = twice.join(up, "lo", "left").select("hi", F.coalesce("up", "lo").alias("lo"), F.col("up").isNotNull().alias("moved"))
+        now, seen = settle(jumped, moved=F.count_if("moved"))
+        now = now.select("hi", "lo")
+        if not seen["moved"]:
             return now
 
 
-def contract(links: DataFrame, a: str = "a", b: str = "b", local_links: int = LOCAL_LINKS) -> DataFrame:
+def _distinct(links: DataFrame) -> tuple[DataFrame, int]:
+    kept, seen = settle(links.distinct(), left=F.count(F.lit(1)))
+    return kept, seen["left"]
+
+
+def contract(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that is not the smallest of its component.
 
     ``links`` has two columns of one orderable type. Loops and nulls link nothing;
     repeated links are one; no links give an empty table.
     """
     edges = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-    edges = cut(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("hi") != F.col("lo"))).distinct())
-    plain = isinstance(edges.schema["hi"].dataType, (T.LongType, T.IntegerType, T.StringType))
+    edges, left = _distinct(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("hi") != F.col("lo"))))
     rounds: list[DataFrame] = []
-    while left := edges.count():
-        if plain and left <= local_links:
-            rounds.append(_finish(edges))
-            break
-        roots = _jump(edges.groupBy("hi").agg(F.min("lo").alias("lo")))
+    while left:
+        roots = _jump(settle(edges.groupBy("hi").agg(F.min("lo").alias("lo")))[0])
         rounds.append(roots)
         hi = roots.select("hi", F.col("lo").alias("hi_root"))
         lo = roots.select(F.col("hi").alias("lo"), F.col("lo").alias("lo_root"))
         moved = edges.join(hi, "hi", "left").join(lo, "lo", "left")
         x, y = F.coalesce("hi_root", "hi"), F.coalesce("lo_root", "lo")
-        edges = cut(
-            moved.where(x != y).select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct()
-        )
+        edges, left = _distinct(moved.where(x != y).select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")))
     if not rounds:
         return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     out = rounds[-1]
     for earlier in reversed(rounds[:-1]):
         final = out.select(F.col("hi").alias("lo"), F.col("lo").alias("final"))
-        out = cut(
-            earlier.join(final, "lo", "left").select("hi", F.coalesce("final", "lo").alias("lo")).unionByName(out)
-        )
+        out, _ = settle(earlier.join(final, "lo", "left").select("hi", F.coalesce("final", "lo").alias("lo")).unionByName(out))
     return out.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def components(links: DataFrame, nodes: DataFrame | None = None, a: str = "a", b: str = "b", local_links: int = LOCAL_LINKS) -> DataFrame:
+def components(links: DataFrame, nodes: DataFrame | None = None, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of all nodes of the links and of ``nodes`` (column ``node``); root is the smallest node."""
     named = links.select(F.col(a).alias("node")).union(links.select(F.col(b).alias("node")))
     every = named if nodes is None else named.union(nodes.select("node"))
     every = every.where("node IS NOT NULL").distinct()
-    return every.join(contract(links, a, b, local_links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return every.join(contract(links, a, b), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -102,11 +102,6 @@ def communities(spark, sf_dir):
     return _communities(spark, sf_dir)
 
 
-def communities_distributed(spark, sf_dir):
-    """The same, joined up by the distributed contraction whatever the size."""
-    return C.communities_of_triples(_triples(spark, sf_dir), small=0)
-
-
 def community_sizes(spark, sf_dir):
     return _communities(spark, sf_dir).groupBy("community_id").agg(F.count(F.lit(1)).alias("n_nodes"))
 
@@ -288,7 +283,7 @@ QUERIES = {
     for f in (
         pair_similarity, open_jaccard_pairs, common_neighbor_pairs, user_predicate_pairs, python_predicate_pairs, node_profiles, two_hop_nodes,
         candidate_triples, admissible_triples, hypergraph_size, hyper_edges_star, hyper_edges_clique, hyper_degree_set_clique, hyper_degree_set_star,
-        communities, communities_distributed, community_sizes, community_order, node_overlap_count, uncovered_nodes, node_community,
+        communities, community_sizes, community_order, node_overlap_count, uncovered_nodes, node_community,
         threshold_report, threshold_sweep_counts, graph_components, pair_counts, avg_threshold, representative_thresholds, omega_of_covers, omega_direct,
         ring_offsets, ring_truth, ring_lattice_edges, ring_edge_counts, shapes_rebuilt, overlap_contract, overlap_truth, plan_units, valid_configs,
         shape_problems, predicted_cost, cost_model_error, predicted_hours, rewire_snapshots, sweep_argmax, adaptive_walk, label_propagation, speaker_listener, ego_communities,
@@ -371,7 +366,6 @@ ORACLE_SQL = {
     "hyper_degree_set_star": _TRIPLES + _STAR + ", d AS (SELECT a1 AS a, b1 AS b, c1 AS c FROM st UNION ALL SELECT a2, b2, c2 FROM st), "
     "n AS (SELECT a, b, c, count(*) AS g FROM d GROUP BY ALL), g AS (SELECT coalesce(n.g, 0) AS degree FROM ta LEFT JOIN n USING (a, b, c)) " + _SET,
     "communities": _CC + "SELECT * FROM cn",
-    "communities_distributed": _CC + "SELECT * FROM cn",
     "community_sizes": _CC + "SELECT community_id, count(*) AS n_nodes FROM cn GROUP BY 1",
     "community_order": _CC + f", fk AS (SELECT (cc.lab // {_N}) || '-' || (cc.lab % {_N}) AS community_id, min(key) AS k FROM ta JOIN cc ON cc.id = a * {_N} + b GROUP BY 1) "
     "SELECT community_id, CAST(row_number() OVER (ORDER BY k) AS INT) AS rank FROM fk",

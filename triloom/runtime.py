@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_DIRS: list[str] = []
 _SHARED: list[tuple[SparkSession, str]] = []
@@ -57,6 +57,21 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def settle(df: DataFrame, **seen: Column) -> tuple[DataFrame, dict]:
+    """``df`` as a table in the shared folder, without its lineage, and the aggregates ``seen`` observed while it was written.
+
+    Unlike a checkpoint it has the size of its files, so joins with it are planned by what
+    it really is, and carries no constraints of earlier plans along, which would grow with
+    every round of an iteration.
+    """
+    spark = df.sparkSession
+    path = new_table_dir(spark, "settled")
+    observed = Observation()
+    kept = df.observe(observed, *[c.alias(k) for k, c in seen.items()]) if seen else df
+    kept.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), observed.get if seen else {}
+
+
 def new_table_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory for a table in the shared folder, removed when Python ends."""
     path = f"{shared_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
