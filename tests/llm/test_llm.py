@@ -56,11 +56,15 @@ def test_splits_follow_components(spark):
     rows = [(i, [f"a{r.randrange(60)}" if r.random() < 0.9 else None, f"b{r.randrange(150)}", None]) for i in range(200)]
     rows += [(i, ["hot"]) for i in range(200, 300)] + [(300, []), (301, None)]
     df = spark.createDataFrame(rows, "id bigint, keys array<string>")
-    for edges in ((0, 400), (0, 120, 250, 400)):
+    for edges in ((0, 400), (0, 120, 250, 400), (0, 30, 60, 100, 140, 280, 400)):
         path = new_table_dir(spark, "splits")
         for a, b in zip(edges, edges[1:]):
-            s = SplitStore(spark, path)  # opened again for every batch
+            s = SplitStore(spark, path, most_parts=2)  # opened again for every batch
             s.update(df.where((F.col("id") >= a) & (F.col("id") < b)), f"{a}")
+            weights = {}
+            for x in s.assigned().collect():
+                weights[x["split"]] = weights.get(x["split"], 0) + 1
+            assert {k: v for k, v in s.state()["weights"].items() if v} == weights
         got = {x["id"]: x for x in s.assigned().collect()}
         want = brute_groups(rows)
         assert {i: x["comp"] for i, x in got.items()} == want

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triloom.functions.naming import complete_object, path_parts, squeeze, trajectory_key, trajectory_run, trajectory_shape
 from triloom.llm import mixing, packing, quantiles
 from triloom.llm.sentences import sentence_units
-from triloom.llm.splits import SplitStore
-from triloom.runtime import cut, new_table_dir
+from triloom.llm.splits import QUARANTINE, SplitStore
+from triloom.runtime import cut, new_table_dir, settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,25 +57,58 @@ def related_records(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select(F.col("man_id").alias("id"), F.array_compact(keys).alias("keys"))
 
 
-def _split_store(spark: SparkSession, sf_dir: str) -> SplitStore:
-    """The manifest as it grew: the first 80 % of the ids, then the rest."""
-    rows = cut(related_records(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "traj_files").select("path", "content")))
+#: Where the batches end in which the manifest comes, as shares of its ids: a history and an update, or five batches.
+UPDATE, BATCHES = (0.8,), (0.2, 0.4, 0.6, 0.8)
+
+
+def _split_updates(spark: SparkSession, sf_dir: str, ends: Sequence[float]) -> Iterator[SplitStore]:
+    """The store after each batch of the manifest as it grew."""
+    rows, seen = settle(
+        related_records(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "traj_files").select("path", "content")), lo=F.min("id"), hi=F.max("id")
+    )
     store = SplitStore(spark, new_table_dir(spark, "splits"))
-    lo, hi = rows.agg(F.min("id"), F.max("id")).first()
+    lo, hi = seen["lo"], seen["hi"]
     if lo is None:
-        return store
-    edges = [lo, *[lo + int((hi - lo) * s) for s in (0.8,)], hi + 1]
+        yield store
+        return
+    edges = [lo, *[lo + int((hi - lo) * s) for s in ends], hi + 1]
     for a, b in zip(edges, edges[1:]):
         store.update(rows.where(F.col("id").between(a, b - 1)), f"from-{a}")
+        yield store
+
+
+def _split_store(spark: SparkSession, sf_dir: str, ends: Sequence[float]) -> SplitStore:
+    for store in _split_updates(spark, sf_dir, ends):
+        pass
     return store
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split_store(spark, sf_dir).assigned().select(F.col("id").alias("man_id"), F.col("comp").alias("group_id"))
+    return _split_store(spark, sf_dir, UPDATE).groups().select(F.col("id").alias("man_id"), F.col("comp").alias("group_id"))
 
 
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split_store(spark, sf_dir).assigned().select(F.col("id").alias("man_id"), F.col("comp").alias("group_id"), "split")
+    return _split_store(spark, sf_dir, BATCHES).assigned().select(F.col("id").alias("man_id"), F.col("comp").alias("group_id"), "split")
+
+
+def p2_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and groups after all batches, groups that stand in two splits, and records that went from one split to another on the way."""
+    before = None
+    moved = 0
+    for store in _split_updates(spark, sf_dir, BATCHES):
+        now = store.assigned()
+        kept = F.lit(None).cast("string")
+        if before is not None:
+            now = now.join(before.select("id", F.col("split").alias("kept")), "id", "left")
+            kept = F.col("kept")
+        went = F.count_if(kept.isNotNull() & (F.col("split") != kept) & (F.col("split") != QUARANTINE))
+        before, seen = settle(now.select("id", "comp", "split", kept.alias("kept")), moved=went)
+        moved += seen["moved"]
+    groups = before.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("splits"))
+    return groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("splits") > 1).alias("groups_in_two_splits"),
+        F.lit(moved).cast("bigint").alias("records_moved"),
+    )
 
 
 # -- 5: percentiles ----------------------------------------------------------------
@@ -160,17 +195,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_splits, p5_percentiles, p5_overall, p5_within_bound, p6_packing, p6_report, p7_mixture, p7_shares, p8_found)
+    for f in (p2_found, p2_splits, p2_invariants, p5_percentiles, p5_overall, p5_within_bound, p6_packing, p6_report, p7_mixture, p7_shares, p8_found)
 }
 
-ORACLE_SQL = {
-    "p5_within_bound": """
-WITH r AS (SELECT regexp_replace(lower(algo), '[^a-z0-9]+', '', 'g') AS algo, omega, elapsed_sec FROM records),
-v AS (SELECT algo, 'omega' AS metric, CASE WHEN isnan(omega) THEN NULL ELSE omega END AS x FROM r
-      UNION ALL SELECT algo, 'elapsed_sec', CASE WHEN isnan(elapsed_sec) THEN NULL ELSE elapsed_sec END FROM r),
-n AS (SELECT algo, metric, count(x) AS n FROM v GROUP BY ALL)
-SELECT algo, metric, q, n, true AS within FROM n, unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) u(q) WHERE n > 0""",
-    "p2_found": r"""
+_GROUPS = r"""
 WITH RECURSIVE f AS (SELECT content, [x FOR x IN regexp_split_to_array(path, '[\\/]+') IF x <> '' AND x <> '.'] AS parts FROM traj_files),
 j AS (SELECT regexp_replace(regexp_replace(lower(parts[list_position(parts, 'trajectories') + 1]), '[^a-z0-9]+o0*([0-9]+)[^a-z0-9]+run0*([0-9]+)$', '|\1|\2'),
         '[^a-z0-9|]+', '', 'g') AS traj, content::JSON AS c FROM f WHERE parts[len(parts)] LIKE 'init%meta%' AND json_valid(content)),
@@ -188,5 +216,15 @@ l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 cc(id, lab) USING KEY (id) AS (SELECT man_id, man_id FROM manifest
    UNION SELECT l.a, min(cc.lab) FROM cc JOIN l ON l.b = cc.id JOIN recurring.cc AS now ON now.id = l.a
    GROUP BY l.a, now.lab HAVING min(cc.lab) < now.lab)
-SELECT id AS man_id, lab AS group_id FROM cc""",
+"""
+
+ORACLE_SQL = {
+    "p5_within_bound": """
+WITH r AS (SELECT regexp_replace(lower(algo), '[^a-z0-9]+', '', 'g') AS algo, omega, elapsed_sec FROM records),
+v AS (SELECT algo, 'omega' AS metric, CASE WHEN isnan(omega) THEN NULL ELSE omega END AS x FROM r
+      UNION ALL SELECT algo, 'elapsed_sec', CASE WHEN isnan(elapsed_sec) THEN NULL ELSE elapsed_sec END FROM r),
+n AS (SELECT algo, metric, count(x) AS n FROM v GROUP BY ALL)
+SELECT algo, metric, q, n, true AS within FROM n, unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) u(q) WHERE n > 0""",
+    "p2_found": _GROUPS + "SELECT id AS man_id, lab AS group_id FROM cc",
+    "p2_invariants": _GROUPS + "SELECT count(*) AS records, count(DISTINCT lab) AS groups, 0::BIGINT AS groups_in_two_splits, 0::BIGINT AS records_moved FROM cc",
 }

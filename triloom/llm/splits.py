@@ -1,16 +1,22 @@
 """Train, validation and test splits that keep related records together, batch after batch.
 
-``SplitStore`` persists which component every key (author, source, entity ...) belongs to
-and which split every component has. A batch of records is merged by looking its keys
-up, linking what they join, and pointer jumping over the links; only links between
-components and new records are walked, never old records. Then
+``SplitStore`` persists which component every key (author, source, entity ...) was met in
+and, for every component, which component it has become part of (its root), the root's
+split and weight. Both tables are logs: an update appends the keys that are new and the
+components that are new or changed, and nothing else is written. A batch of records is
+merged by looking its keys up, linking what they join, and pointer jumping over the links;
+only links between components and new records are walked, never old records. Components
+that pointed to one that is merged are pointed to its new root, so one look finds a root.
+Then
 
 - a component that existed keeps its split,
 - components that are new fill the deficits of the splits against their proportions,
 - a component that joins components of different splits is quarantined: its records
   belong to no split until someone decides, since moving either side would leak.
 
-A component is named by its smallest record id, so names do not depend on batches.
+A component is named by its smallest record id, so names do not depend on batches. The
+weights of the splits are kept with the state, so no update sums up the history. When
+``MOST_PARTS`` appended parts have come together, the logs are written anew as one part.
 
 Defined results: a record whose keys are all null is a component of its own; null keys
 relate nothing; the same record id again adds its keys to the record; an empty batch
@@ -26,114 +32,166 @@ from pyspark.sql import functions as F
 
 from triloom.functions.prefix import bucketed_running_sum
 from triloom.operators.components import contract
-from triloom.runtime import cut
+from triloom.runtime import settle
 from triloom.sources.versions import VersionLog
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 QUARANTINE = "quarantine"
-_TABLES = {"keys": "key string, comp bigint", "comps": "comp bigint, split string, weight bigint"}
+_KEYS = "key string, comp bigint"
+_COMPS = "comp bigint, root bigint, split string, weight bigint, version int"
 _RECORD = "r"  # before a record's own key; other keys have k
-#: New components are put in order in this many slots by size and hash.
-SLOTS = 1024
+#: New components are put in order in slots of about so many records.
+SLOT_RECORDS = 100_000
+MOST_PARTS = 32
 
 
 class SplitStore:
-    """Two tables at ``path``: keys (key, comp), where a record is a key of its own, and comps (comp, split, weight).
+    """Logs at ``path``: keys (key, comp), where a record is a key of its own, and comps (comp, root, split, weight, version).
 
-    Every update writes both anew and switches to them by one rename, so a store can be
-    opened again later, and an update that fails changes nothing.
+    The newest version of a component holds; split and weight are those of roots. An
+    update switches to its parts by one rename, so a store can be opened again later, and
+    an update that fails changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, proportions: Mapping[str, float] = SPLITS):
+    def __init__(self, spark: SparkSession, path: str, proportions: Mapping[str, float] = SPLITS, most_parts: int = MOST_PARTS):
         if not proportions or any(p < 0 for p in proportions.values()) or sum(proportions.values()) <= 0:
             raise ValueError("proportions must not be negative, and not all zero")
         total = sum(proportions.values())
         self.proportions = {k: v / total for k, v in proportions.items()}
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.most_parts = spark, path.rstrip("/"), most_parts
         self.log = VersionLog(spark, path)
 
     def state(self) -> dict:
-        return self.log.read() or {"version": 0, "applied": []}
+        return self.log.read() or {"version": 0, "applied": [], "parts": [], "weights": {}}
 
-    def _tables(self, s: dict) -> tuple[DataFrame | None, DataFrame | None]:
-        if not s["version"]:
-            return None, None
-        here = f"{self.path}/v{s['version']:08d}"
-        return tuple(self.spark.read.schema(schema).parquet(f"{here}/{name}") for name, schema in _TABLES.items())
+    def _keys(self, s: dict) -> DataFrame:
+        return self.spark.read.schema(_KEYS).parquet(*[f"{p}/keys" for p in s["parts"]])
+
+    def _comps(self, s: dict, of: DataFrame | None = None) -> DataFrame:
+        """comp, root, split, weight as they are now, of all components or those of ``of`` (column comp)."""
+        log = self.spark.read.schema(_COMPS).parquet(*[f"{p}/comps" for p in s["parts"]])
+        if of is not None:
+            log = log.join(of, "comp", "left_semi")
+        if len(s["parts"]) == 1:
+            return log.drop("version")
+        newest = log.groupBy("comp").agg(F.max(F.struct("version", "root", "split", "weight")).alias("now"))
+        return newest.select("comp", "now.root", "now.split", "now.weight")
 
     def update(self, batch: DataFrame, name: str) -> None:
         """Merges records: ``id`` bigint and ``keys`` array of strings. A batch name is applied once."""
         s = self.state()
         if name in s["applied"]:
             return
-        old_keys, old_comps = self._tables(s)
         version = s["version"] + 1
         here = f"{self.path}/v{version:08d}"
         own = F.concat(F.lit(_RECORD), F.col("id").cast("string"))
         named = F.transform(F.array_compact(F.coalesce("keys", F.array().cast("array<string>"))), lambda k: F.concat(F.lit("k"), k))
-        pairs = batch.where("id IS NOT NULL").select("id", F.explode(F.array_append(named, own)).alias("key"))
-        if old_keys is None:
-            known = pairs.withColumn("comp", F.lit(None).cast("bigint"))
+        pairs = batch.where("id IS NOT NULL").select("id", F.explode(F.array_append(named, own)).alias("key")).distinct()
+        nothing = F.lit(None).cast("bigint")
+        if s["parts"]:
+            known, seen = settle(pairs.join(self._keys(s), "key", "left"), rows=F.count(F.lit(1)))
+            met = self._comps(s, known.select("comp")).select("comp", "root")
+            known, _ = settle(known.join(met, "comp", "left").select("id", "key", F.col("root").alias("comp")))
         else:
-            known = pairs.join(old_keys, "key", "left")
-        known = cut(known.select("id", "key", "comp"))
+            known, seen = settle(pairs.withColumn("comp", nothing), rows=F.count(F.lit(1)))
+        if not seen["rows"]:
+            return
         # a key joins the component that has it, and all records of the batch that have it
         low = known.groupBy("key").agg(F.min(F.least("id", F.coalesce("comp", "id"))).alias("low"))
-        joined = known.join(low, "key")
-        links = joined.select(F.explode(F.array("id", "comp")).alias("a"), F.col("low").alias("b"))
+        links = known.join(low, "key").select(F.explode(F.array("id", "comp")).alias("a"), F.col("low").alias("b"))
         roots = contract(links).withColumnRenamed("node", "comp")
         root = F.coalesce("root", "comp")
-        keys = known.select("key", F.coalesce("comp", "id").alias("comp"))
-        if old_keys is not None:
-            keys = keys.unionByName(old_keys)
-        keys = keys.groupBy("key").agg(F.min("comp").alias("comp"))
-        keys.join(roots, "comp", "left").select("key", root.alias("comp")).write.mode("overwrite").parquet(f"{here}/keys")
-        keys = self.spark.read.schema(_TABLES["keys"]).parquet(f"{here}/keys")
-        # components: what was there under its new name, and how many records came to it
-        weights = keys.where(F.col("key").startswith(_RECORD)).groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
-        if old_comps is None:
-            comps = weights.withColumn("split", F.lit(None).cast("string"))
-        else:
-            before = old_comps.join(roots, "comp", "left").groupBy(root.alias("comp")).agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
-            comps = weights.join(before, "comp", "left").withColumn("split", F.when(F.col("lo") != F.col("hi"), QUARANTINE).otherwise(F.col("lo")))
-        filled = self._fill(cut(comps.select("comp", "split", "weight")))
-        filled.write.mode("overwrite").parquet(f"{here}/comps")
-        self.log.commit({"version": version, "applied": [*s["applied"], name]})
+        fresh = known.where("comp IS NULL").groupBy("key").agg(F.min("id").alias("comp"))
+        fresh.join(roots, "comp", "left").select("key", root.alias("comp")).write.mode("overwrite").parquet(f"{here}/keys")
+        # how many records came to each component, and what it was before
+        came = known.where(F.col("comp").isNull() & F.col("key").startswith(_RECORD)).select(F.col("id").alias("comp"), F.lit(1).alias("weight"), F.lit(None).cast("string").alias("split"))
+        if s["parts"]:
+            before = self._comps(s, known.select("comp")).where("comp = root").select("comp", "weight", "split")
+            came = came.unionByName(before)
+        touched = came.join(roots, "comp", "left").groupBy(root.alias("comp")).agg(
+            F.sum("weight").alias("weight"), F.min("split").alias("lo"), F.max("split").alias("hi")
+        )
+        split = F.when(F.col("lo") != F.col("hi"), QUARANTINE).otherwise(F.col("lo"))
+        weigh = {f"w{k}": F.sum(F.when(F.col("split").eqNullSafe(F.lit(x)), F.col("weight"))) for k, x in enumerate([*self.proportions, QUARANTINE, None])}
+        comps, now = settle(touched.select("comp", split.alias("split"), "weight"), **weigh)
+        weights = dict(s["weights"])
+        for k, x in enumerate([*self.proportions, QUARANTINE]):
+            weights[x] = weights.get(x, 0) + (now[f"w{k}"] or 0)
+        if s["parts"]:
+            for r in before.groupBy("split").agg(F.sum("weight").alias("w")).collect():  # a row for each split
+                weights[r["split"]] -= r["w"]
+        filled, more = settle(
+            self._fill(comps, weights, now[f"w{len(self.proportions) + 1}"] or 0),
+            **{f"w{k}": F.sum(F.when(F.col("was").isNull() & (F.col("split") == x), F.col("weight"))) for k, x in enumerate(self.proportions)},
+        )
+        for k, x in enumerate(self.proportions):
+            weights[x] += more[f"w{k}"] or 0
+        rows = filled.select("comp", F.col("comp").alias("root"), "split", "weight")
+        none = (F.lit(None).cast("string").alias("split"), F.lit(0).cast("bigint").alias("weight"))
+        if s["parts"]:
+            # merged components, and those that pointed to them
+            merged = self._comps(s).where("comp <> root").select("comp", F.col("root").alias("old"))
+            again = merged.join(roots.select(F.col("comp").alias("old"), "root"), "old").select("comp", "root", *none)
+            gone = before.join(roots, "comp").select("comp", "root", *none)
+            rows = rows.unionByName(gone).unionByName(again)
+        rows.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{here}/comps")
+        s = {"version": version, "applied": [*s["applied"], name], "parts": [*s["parts"], here], "weights": weights}
+        self.log.commit(s)
+        if len(s["parts"]) > self.most_parts:
+            self.compact()
+
+    def compact(self) -> None:
+        """Writes the logs anew as one part."""
+        s = self.state()
+        version = s["version"] + 1
+        here = f"{self.path}/v{version:08d}"
+        self._keys(s).write.mode("overwrite").parquet(f"{here}/keys")
+        self._comps(s).withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{here}/comps")
+        self.log.commit(s | {"version": version, "parts": [here]})
 
-    def _fill(self, comps: DataFrame) -> DataFrame:
-        """Gives components without a split one, so that the splits come near their proportions.
+    def _fill(self, comps: DataFrame, have: Mapping[str, int], new: int) -> DataFrame:
+        """``comps`` with ``was``, the split before; components without one get one, so that the splits come near their proportions.
 
         The new components are laid along a line, the largest first, the line is divided
         in the proportion of the deficits, and a component goes where its middle lies.
         """
-        have = {r["split"]: r["w"] for r in comps.groupBy("split").agg(F.sum("weight").alias("w")).collect()}
-        new = have.get(None, 0)
+        kept = comps.withColumn("was", F.col("split"))
         if not new:
-            return comps
-        total = sum(w for s, w in have.items() if s != QUARANTINE)  # with the new ones
+            return kept
+        total = new + sum(have.get(x, 0) for x in self.proportions)
         gaps = {s: max(0.0, p * total - have.get(s, 0)) for s, p in self.proportions.items()}
         scale = new / (sum(gaps.values()) or 1)
         ends, at = [], 0.0
         for s in sorted(gaps, key=lambda s: (-gaps[s], s)):
             at += gaps[s] * scale
             ends.append((s, at))
-        fresh = comps.where("split IS NULL")
-        # slots in the order of falling size: the power of two, then a hash
+        # slots in the order of falling size: the power of two, then a hash; as many as the records need
+        slots = -(-new // SLOT_RECORDS)
         size = 40 - F.floor(F.log2("weight"))
-        slot = size * F.lit(SLOTS) + F.pmod(F.xxhash64("comp"), F.lit(SLOTS))
-        laid = bucketed_running_sum(fresh.withColumn("slot", slot), "weight", "slot", [F.desc("weight"), "comp"], "upto")
+        slot = size * F.lit(slots) + F.pmod(F.xxhash64("comp"), F.lit(slots))
+        fresh = comps.where("split IS NULL").withColumn("slot", slot)
+        laid = bucketed_running_sum(fresh, "weight", "slot", [F.desc("weight"), "comp"], "upto")
         middle = F.col("upto") - F.col("weight") / 2
         split = F.lit(ends[-1][0])
         for s, end in reversed(ends[:-1]):
             split = F.when(middle < F.lit(end), s).otherwise(split)
-        filled = laid.select("comp", split.alias("split"), "weight")
-        return comps.where("split IS NOT NULL").unionByName(filled)
+        filled = laid.select("comp", split.alias("split"), "weight", F.lit(None).cast("string").alias("was"))
+        return kept.where("split IS NOT NULL").unionByName(filled)
+
+    def groups(self) -> DataFrame:
+        """id and comp (the smallest id of the component) of every record so far."""
+        s = self.state()
+        if not s["parts"]:
+            return self.spark.createDataFrame([], "id bigint, comp bigint")
+        mine = self._keys(s).where(F.col("key").startswith(_RECORD))
+        mine = mine.select(F.substring("key", len(_RECORD) + 1, 20).cast("bigint").alias("id"), "comp")
+        moved = self._comps(s).where("comp <> root").select("comp", "root")
+        return mine.join(moved, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
 
     def assigned(self) -> DataFrame:
         """id, comp (the smallest id of the component) and split of every record so far."""
-        keys, comps = self._tables(self.state())
-        if keys is None:
+        s = self.state()
+        if not s["parts"]:
             return self.spark.createDataFrame([], "id bigint, comp bigint, split string")
-        mine = keys.where(F.col("key").startswith(_RECORD))
-        mine = mine.select(F.substring("key", len(_RECORD) + 1, 20).cast("bigint").alias("id"), "comp")
-        return mine.join(comps.select("comp", "split"), "comp").select("id", "comp", "split")
+        roots = self._comps(s).where("comp = root").select("comp", "split")
+        return self.groups().join(roots, "comp").select("id", "comp", "split")
