@@ -105,7 +105,7 @@ def test_consolidation(spark):
         ("trajectories/t3/labels.csv", 9, None), ("nowhere/labels.csv", 9, "0.1,1,1"), (None, None, None), ("trajectories", 1, "x"), ("trajectories/t4/labels.csv", 1, ""),
         ("trajectories/t5/labels.csv", 1, "0.9," + "x" * 1_000_000),
     ]
-    got, report = K.consolidate(files(spark, rows), 12)
+    got, report, folder = K.consolidate(files(spark, rows), 12)
     want = [("t1", "labels", 0), ("t1", "labels", 50), ("t1", "labels", 100), ("t1", "init_meta", -1), ("t1", "done", -1), ("t2", "done", -1), ("t5", "labels", 900)]
     assert sorted((r["traj_id"], r["kind"], r["p_milli"]) for r in got.collect()) == sorted(want)
     assert got.where("p_milli = 50").first()["body"].endswith("nan")  # the newest file wins
@@ -219,6 +219,15 @@ def test_values_without_meaning_have_no_form(spark):
 
 
 def test_file_group_report(spark):
-    got, _ = K.consolidate(files(spark, [("trajectories/t/labels.csv", 10, "0.1,1,1\n0.2,1,1")]), 5)
-    assert K.file_sizes(got).first()["records"] == 2
+    got, _, folder = K.consolidate(files(spark, [("trajectories/t/labels.csv", 10, "0.1,1,1\n0.2,1,1")]), 5)
+    assert K.file_sizes(spark, folder).first()["records"] == 2
     assert got.where(F.col("group_id") != 0).count() == 0
+
+
+@pytest.mark.parametrize("target", [1, 40, 1000])
+def test_one_file_for_each_group(spark, target):
+    rows = [(f"trajectories/t{i:02d}/labels.csv", 20, f"0.{i},1,1\n0.999,2,2") for i in range(30)]
+    _, _, folder = K.consolidate(files(spark, rows), target)
+    sizes = K.file_sizes(spark, folder).collect()
+    assert len({r["file"] for r in sizes}) == len({r["group_id"] for r in sizes}) == len(sizes) == -(-30 * 20 // max(target, 20))
+    assert sum(r["records"] for r in sizes) == 60

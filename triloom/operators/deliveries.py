@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from triloom.functions.naming import micro_units, squeeze, trajectory_key
-from triloom.runtime import cut, hadoop_path
+from triloom.runtime import cut, hadoop_path, observed_values
 from triloom.sources.versions import VersionLog
 
 _OWN = ("__home", "__part")
@@ -146,7 +146,7 @@ class DeliveryStore:
         parted = joined.drop("__row").withColumn("__part", part).hint("rebalance", "__part")
         seen = Observation()
         parted.observe(seen, F.count("__home").alias("kept")).write.mode("overwrite").partitionBy("__part").parquet(to)
-        return seen.get["kept"]
+        return (observed_values(seen) or {"kept": 0})["kept"]
 
     def _key(self) -> list[Column]:
         """Two 64-bit hashes of the identifier, together its key.

@@ -9,7 +9,7 @@ from triloom.operators.deliveries import DeliveryStore, merge_deliveries, record
 from triloom.operators.schema_drift import INIT_META, NUM, NUM_LIST, P_SWEEP, drift_report, unify
 from triloom.plans.reports import usable
 from triloom.runtime import new_table_dir
-from triloom.sources.compaction import consolidate
+from triloom.sources.compaction import consolidate, file_sizes
 
 #: Bytes of source files that one consolidated file is made of.
 TARGET_BYTES = 128 << 20
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, _ = consolidate(table(spark, sf_dir, "traj_files"), TARGET_BYTES)
+    records, _, _ = consolidate(table(spark, sf_dir, "traj_files"), TARGET_BYTES)
     return records.select("traj_id", "kind", "p_milli")
 
 
@@ -30,6 +30,20 @@ def p1_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A target that gives these small tables many groups.
+SMALL_TARGET = 20_000
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a small target: the records of every group, the files it is in and the groups its file holds (one each)."""
+    _, _, folder = consolidate(table(spark, sf_dir, "traj_files"), SMALL_TARGET)
+    sizes = file_sizes(spark, folder)
+    held = sizes.groupBy("file").agg(F.count(F.lit(1)).alias("groups_in_file"))
+    return sizes.join(held, "file").groupBy("group_id").agg(
+        F.sum("records").alias("records"), F.sum("body_bytes").alias("body_bytes"), F.count(F.lit(1)).alias("files"), F.max("groups_in_file").alias("groups_in_file")
+    )
+
+
 def _delivered(spark: SparkSession, rows: DataFrame) -> DeliveryStore:
     """The rows taken in as they came: a history, then what was loaded in the last fifth of the time."""
     lo, hi = rows.agg(F.min("loaded_at"), F.max("loaded_at")).first()
@@ -77,7 +91,7 @@ def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_reconciliation, p3_found, p3_current, p4_found, p4_init_meta, p4_p_sweep, p4_values)
+    for f in (p1_found, p1_reconciliation, p1_groups, p3_found, p3_current, p4_found, p4_init_meta, p4_p_sweep, p4_values)
 }
 
 _FILES = r"""
@@ -157,6 +171,15 @@ ORACLE_SQL = {
     "p1_reconciliation": _FILES
     + """SELECT kind, count(*) AS records_read, count(DISTINCT traj_id || '/' || p_milli) AS distinct_records,
                 count(DISTINCT traj_id || '/' || p_milli) AS written FROM r GROUP BY kind""",
+    "p1_groups": r"""WITH f AS (SELECT file_id, n_bytes, modified_at, content, [x FOR x IN regexp_split_to_array(path, '[\\/]+') IF x <> '' AND x <> '.'] AS parts FROM traj_files),
+g AS (SELECT *, parts[list_position(parts, 'trajectories') + 1] AS traj_id, parts[len(parts)] AS name FROM f WHERE list_position(parts, 'trajectories') > 0 AND list_position(parts, 'trajectories') + 1 < len(parts)),
+k AS (SELECT *, CASE WHEN name LIKE 'labels%' THEN 'labels' WHEN name LIKE 'init\_meta%' ESCAPE '\' THEN 'init_meta' WHEN name LIKE 'done%' THEN 'done' END AS kind FROM g),
+s AS (SELECT *, CAST(coalesce(sum(greatest(coalesce(n_bytes, 0), 0)) OVER (ORDER BY traj_id, kind, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 20000 AS INT) AS group_id FROM k WHERE kind IS NOT NULL),
+l AS (SELECT file_id, modified_at, group_id, traj_id, unnest(regexp_split_to_array(content, '\r\n|\n|\r')) AS body, generate_subscripts(regexp_split_to_array(content, '\r\n|\n|\r'), 1) AS line FROM s WHERE kind = 'labels' AND content IS NOT NULL),
+r AS (SELECT file_id, modified_at, group_id, traj_id, 'labels' AS kind, line, body, TRY_CAST(regexp_extract(replace(body, chr(65279), ''), '^\s*([^,;]*)[,;]', 1) AS DOUBLE) AS p FROM l
+      UNION ALL SELECT file_id, modified_at, group_id, traj_id, kind, 0, coalesce(content, ''), -0.001 FROM s WHERE kind = 'done' OR (kind = 'init_meta' AND json_valid(content) AND json_type(content) = 'OBJECT')),
+w AS (SELECT *, row_number() OVER (PARTITION BY traj_id, kind, CAST(round(p * 1000) AS INT) ORDER BY modified_at DESC, file_id DESC, line DESC) AS nth FROM r WHERE p IS NOT NULL)
+SELECT group_id, count(*) AS records, CAST(sum(strlen(body)) AS BIGINT) AS body_bytes, 1::BIGINT AS files, 1::BIGINT AS groups_in_file FROM w WHERE nth = 1 GROUP BY 1""",
     "p3_found": _COPIES + "SELECT rec_id FROM w WHERE nth > 1",
     "p3_current": _COPIES + "SELECT rec_id, CASE WHEN isnan(omega) THEN NULL ELSE omega END AS omega, elapsed_sec FROM w WHERE nth = 1",
 }

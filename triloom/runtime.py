@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_DIRS: list[str] = []
@@ -69,7 +70,19 @@ def settle(df: DataFrame, **seen: Column) -> tuple[DataFrame, dict]:
     observed = Observation()
     kept = df.observe(observed, *[c.alias(k) for k, c in seen.items()]) if seen else df
     kept.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), observed.get if seen else {}
+    table = spark.read.schema(df.schema).parquet(path)
+    if not seen:
+        return table, {}
+    got = observed_values(observed)
+    return table, table.agg(*[c.alias(k) for k, c in seen.items()]).first().asDict() if got is None else got
+
+
+def observed_values(observed: Observation) -> dict | None:
+    """What was observed, or None where the plan was found to be empty and never ran."""
+    try:
+        return observed.get
+    except Py4JJavaError:
+        return None
 
 
 def new_table_dir(spark: SparkSession, name: str) -> str:
