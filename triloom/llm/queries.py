@@ -101,9 +101,8 @@ def p2_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before is not None:
             now = now.join(before.select("id", F.col("split").alias("kept")), "id", "left")
             kept = F.col("kept")
-        went = F.count_if(kept.isNotNull() & (F.col("split") != kept) & (F.col("split") != QUARANTINE))
-        before, seen = settle(now.select("id", "comp", "split", kept.alias("kept")), moved=went)
-        moved += seen["moved"]
+        before, _ = settle(now.select("id", "comp", "split", kept.alias("kept")))
+        moved += before.where((F.col("split") != F.col("kept")) & (F.col("split") != QUARANTINE)).count()
     groups = before.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("splits"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("splits") > 1).alias("groups_in_two_splits"),

@@ -45,6 +45,11 @@ SLOT_RECORDS = 100_000
 MOST_PARTS = 32
 
 
+def _by_split(comps: DataFrame) -> dict:
+    """The weight of each split; a row for each."""
+    return {r["split"]: r["w"] for r in comps.groupBy("split").agg(F.sum("weight").alias("w")).collect()}
+
+
 class SplitStore:
     """Logs at ``path``: keys (key, comp), where a record is a key of its own, and comps (comp, root, split, weight, version).
 
@@ -112,20 +117,18 @@ class SplitStore:
             F.sum("weight").alias("weight"), F.min("split").alias("lo"), F.max("split").alias("hi")
         )
         split = F.when(F.col("lo") != F.col("hi"), QUARANTINE).otherwise(F.col("lo"))
-        weigh = {f"w{k}": F.sum(F.when(F.col("split").eqNullSafe(F.lit(x)), F.col("weight"))) for k, x in enumerate([*self.proportions, QUARANTINE, None])}
-        comps, now = settle(touched.select("comp", split.alias("split"), "weight"), **weigh)
+        comps, _ = settle(touched.select("comp", split.alias("split"), "weight"))
+        now = _by_split(comps)
         weights = dict(s["weights"])
-        for k, x in enumerate([*self.proportions, QUARANTINE]):
-            weights[x] = weights.get(x, 0) + (now[f"w{k}"] or 0)
+        for x, w in now.items():
+            if x is not None:
+                weights[x] = weights.get(x, 0) + w
         if s["parts"]:
-            for r in before.groupBy("split").agg(F.sum("weight").alias("w")).collect():  # a row for each split
-                weights[r["split"]] -= r["w"]
-        filled, more = settle(
-            self._fill(comps, weights, now[f"w{len(self.proportions) + 1}"] or 0),
-            **{f"w{k}": F.sum(F.when(F.col("was").isNull() & (F.col("split") == x), F.col("weight"))) for k, x in enumerate(self.proportions)},
-        )
-        for k, x in enumerate(self.proportions):
-            weights[x] += more[f"w{k}"] or 0
+            for x, w in _by_split(before).items():
+                weights[x] -= w
+        filled, _ = settle(self._fill(comps, weights, now.get(None, 0)))
+        for x, w in _by_split(filled.where("was IS NULL")).items():
+            weights[x] = weights.get(x, 0) + w
         rows = filled.select("comp", F.col("comp").alias("root"), "split", "weight")
         none = (F.lit(None).cast("string").alias("split"), F.lit(0).cast("bigint").alias("weight"))
         if s["parts"]:
