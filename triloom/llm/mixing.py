@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from triloom.functions.naming import squeeze
 from triloom.functions.prefix import bucketed_running_sum
-from triloom.llm.tokens import token_count
-from triloom.runtime import cut
+from triloom.llm.tokens import deal_copies, token_count
+from triloom.runtime import settle
 
 BUCKET_TOKENS = 2_000_000
 MOST_SOURCES = 10_000
@@ -50,9 +50,9 @@ def measured(documents: DataFrame, seed: int = 17, tokenizer_path: str | None =
     """doc_id, source_key, n_tokens and a random place of every document, written down once."""
     rows = documents.select("doc_id", squeeze("source").alias("source_key"), "text")
     rows = rows.where("source_key IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    sized = rows.select("doc_id", "source_key", token_count("text", tokenizer_path).alias("n_tokens"))
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.monotonically_increasing_id())
-    return cut(sized.withColumn("place", place).where("n_tokens > 0"))
+    sized = rows.select("doc_id", "source_key", token_count("text", tokenizer_path).alias("n_tokens"), F.xxhash64("text").alias("text_hash"))
+    told = deal_copies(sized.where("n_tokens > 0"), ["doc_id", "source_key", "n_tokens", "text_hash"])
+    return settle(told.select("doc_id", "source_key", "n_tokens", F.xxhash64(F.lit(seed), "doc_id", "text_hash", "copy").alias("place")))[0]
 
 
 def source_totals(sized: DataFrame, targets: DataFrame) -> list[Share]:
@@ -122,7 +122,7 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     ranges = max(1, -(-int(budget) // BUCKET_TOKENS))
     step = max(limit, 1e-12) / ranges
     timed = timed.withColumn("slot", F.floor(F.col("finish_time") / F.lit(step)))
-    ordered = cut(
+    ordered, _ = settle(
         timed.select("source", "source_key", "doc_id", "place", "pass_no", "n_tokens", "finish_time", "slot")
         .repartitionByRange("slot")
     )
@@ -133,21 +133,37 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     )
 
 
-def mixture_shares(mixture: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """Of every listed source: target and actual share, tokens, documents, most uses of one pass number."""
+def mixture_shares(mixture: DataFrame, sized: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
+    """Of every listed source: target, feasible and actual share, shortfall, tokens, documents, most uses, the longest document.
+
+    The feasible share is what the target comes to when sources that run out for good leave
+    their rest to the others. ``shortfall`` is what the actual share lacks of it; it is
+    within ``share_bound``, since a source may stop short of its time by one document only.
+    """
     spark = mixture.sparkSession
     shares = source_totals(sized, targets)
+    live = [s for s in shares if s.weight and s.tokens and s.repeats]
+    if budget is None:
+        budget = sum(s.tokens for s in live)
+    budget = min(budget, sum(s.tokens * s.repeats for s in live))
+    end = virtual_end(live, budget)
+    total = max(1, mixture.agg(F.sum("n_tokens")).first()[0] or 0)
+    longest, weight = sum(s.longest for s in live), sum(s.weight for s in live if s.repeats * s.tokens >= end * s.weight * (1 - 1e-9)) or 1.0
+    rows = []
+    for s in shares:
+        given = min(s.weight * end, float(s.repeats * s.tokens)) if s in live else 0.0
+        bound = (s.longest + longest * s.weight / weight) / total + abs(1 - max(1, budget) / total) if s in live else 0.0
+        rows.append((s.source, s.weight, given / max(1, budget), bound, s.repeats, s.tokens, s.documents, s.longest))
     table = spark.createDataFrame(
-        [(s.source, s.weight, s.repeats, s.tokens, s.documents) for s in shares],
-        "source string, target_share double, max_repeats int, tokens_available bigint, documents_available bigint",
+        rows,
+        "source string, target_share double, feasible_share double, share_bound double, max_repeats int, tokens_available bigint, documents_available bigint, longest_document bigint",
     )
     got = mixture.groupBy("source").agg(
         F.sum("n_tokens").alias("tokens_used"), F.count(F.lit(1)).alias("documents_used"), F.max("pass_no").alias("passes_used")
     )
-    total = got.agg(F.sum("tokens_used")).first()[0] or 0
+    actual = F.coalesce("tokens_used", F.lit(0)) / F.lit(float(total))
     return table.join(got, "source", "left").select(
-        "source", "target_share",
-        (F.coalesce("tokens_used", F.lit(0)) / F.lit(float(max(1, total)))).alias("actual_share"),
+        "source", "target_share", "feasible_share", actual.alias("actual_share"), (F.col("feasible_share") - actual).alias("shortfall"), "share_bound",
         F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce("documents_used", F.lit(0)).alias("documents_used"),
-        F.coalesce("passes_used", F.lit(0)).alias("passes_used"), "max_repeats", "tokens_available", "documents_available",
+        F.coalesce("passes_used", F.lit(0)).alias("passes_used"), "max_repeats", "tokens_available", "documents_available", "longest_document",
     )

@@ -11,7 +11,9 @@ same tree, so sketches of parts combine to the sketch of the whole.
 ``k`` follows from the wanted error ``eps`` (a share of the number of values) for up to
 ``MOST`` values. Every task builds the buffers of the groups in its rows, so what is
 shuffled is bounded by k values per level, group and task; sketches are merged in rounds
-of at most ``MERGE_VALUES`` values per task, so no task sees an unbounded group.
+of at most ``merge_values`` values per task, which is at least four whole sketches, so
+every round leaves a quarter or so, and no task sees an unbounded group. Buffers are
+dealt by what they hold, not by where they stand.
 
 Defined results: null and NaN values have no rank and are not counted; infinities are
 values; a group without values has no row; up to k * FAN values of a group the result is
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.runtime import cut
+from triloom.runtime import settle
 
 FAN = 16
 MOST = 10**12
@@ -43,11 +45,21 @@ def buffer_size(eps: float = EPS, most: int = MOST) -> int:
     Every level adds at most n / (2 k), the last weight at most n / (k * FAN) or so.
     """
     k = 64
-    while (max(1, math.ceil(math.log(most / k, FAN))) / 2 + 1) / k > eps:
+    while error_share(k, most) > eps:
         k = math.ceil(k * 1.1)
     return k
 
 
+def error_share(k: int, most: int = MOST) -> float:
+    """The bound of the rank error of ``most`` values as a share of their number."""
+    return (max(1, math.ceil(math.log(most / k, FAN))) / 2 + 1) / k
+
+
+def sketch_values(k: int, most: int = MOST) -> int:
+    """The values a sketch of ``most`` values has at most."""
+    return k * FAN * (max(1, math.ceil(math.log(most / k, FAN))) + 1)
+
+
 def collapse(buffers: Sequence[np.ndarray], weights: Sequence[int], k: int, odd_turn: bool) -> tuple[np.ndarray, int]:
     """k values at evenly spaced positions of the weighted merge, and their weight."""
     total = int(sum(weights))
@@ -146,11 +158,13 @@ def merge_buffers(levels, weights, errs, vals, k: int) -> Sketch:
 def combine(buffers: DataFrame, by: Sequence[str], k: int, merge_values: int = MERGE_VALUES) -> DataFrame:
     """The buffers of any parts to those of the groups ``by`` (a subset of the columns) and metric.
 
-    In rounds: a group with more than ``merge_values`` values is dealt to several tasks
-    first, which collapse what they have.
+    ``buffers`` is read twice and should be settled. In rounds: a group with more than
+    ``merge_values`` values is dealt to several tasks first, which collapse what they have.
+    A smaller ``merge_values`` than four sketches counts as that.
     """
     by = list(by)
     keys = [*by, "metric"]
+    merge_values = max(merge_values, 4 * sketch_values(k))
     schema = ", ".join([*[f"`{c}` {t}" for c, t in buffers.select(*by).dtypes], "metric string", _BUFFER])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -160,17 +174,12 @@ def combine(buffers: DataFrame, by: Sequence[str], k: int, merge_values: int = M
         return pd.DataFrame([(*head, *r) for r in rows], columns=[*keys, "level", "weight", "err", "vals"])
 
     now = buffers.select(*keys, "level", "weight", "err", "vals")
-    before = None
     while True:
-        now = cut(now)
         size = now.groupBy(*keys).agg(F.sum(F.size("vals")).alias("c")).agg(F.max("c")).first()[0] or 0
-        if size <= merge_values or (before is not None and size > 0.8 * before):
-            break
-        before = size
-        deals = math.ceil(size / merge_values)
-        dealt = now.withColumn("deal", F.pmod(F.xxhash64("level", F.monotonically_increasing_id()), F.lit(deals)))
-        now = dealt.groupBy(*keys, "deal").applyInPandas(run, schema)
-    return now.groupBy(*keys).applyInPandas(run, schema)
+        if size <= merge_values:
+            return now.groupBy(*keys).applyInPandas(run, schema)
+        deals = F.pmod(F.xxhash64("level", "weight", "err", "vals"), F.lit(math.ceil(size / merge_values)))
+        now, _ = settle(now.withColumn("deal", deals).groupBy(*keys, "deal").applyInPandas(run, schema))
 
 
 def percentiles(combined: DataFrame, by: Sequence[str], qs: Sequence[float]) -> DataFrame:

@@ -11,7 +11,7 @@ from triloom.functions.naming import complete_object, path_parts, squeeze, traje
 from triloom.llm import mixing, packing, quantiles
 from triloom.llm.sentences import sentence_units
 from triloom.llm.splits import QUARANTINE, SplitStore
-from triloom.runtime import cut, new_table_dir, settle
+from triloom.runtime import new_table_dir, settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,23 +123,25 @@ def _measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of each algorithm on each day, and over all days (day null), combined from the days' sketches."""
     k = quantiles.buffer_size()
-    built = quantiles.build(_measurements(spark, sf_dir), ["day", "algo"], ["omega", "elapsed_sec"], k)
-    daily = cut(quantiles.combine(built, ["day", "algo"], k))
+    built, _ = settle(quantiles.build(_measurements(spark, sf_dir), ["day", "algo"], ["omega", "elapsed_sec"], k))
+    daily, _ = settle(quantiles.combine(built, ["day", "algo"], k))
     every = quantiles.combine(daily, ["algo"], k)
     total = quantiles.percentiles(every, ["algo"], QS).withColumn("day", F.lit(None).cast("date"))
     return quantiles.percentiles(daily, ["day", "algo"], QS).unionByName(total)
 
 
+def _overall(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    built, _ = settle(quantiles.build(_measurements(spark, sf_dir), ["algo"], ["omega", "elapsed_sec"], k))
+    return quantiles.percentiles(quantiles.combine(built, ["algo"], k), ["algo"], QS)
+
+
 def p5_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of each algorithm over all rows."""
-    k = quantiles.buffer_size()
-    built = quantiles.build(_measurements(spark, sf_dir), ["algo"], ["omega", "elapsed_sec"], k)
-    return quantiles.percentiles(quantiles.combine(built, ["algo"], k), ["algo"], QS)
+    return _overall(spark, sf_dir, quantiles.buffer_size())
 
 
-def p5_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the exact rank of every percentile lies within its bound, counted over all rows."""
-    found = p5_overall(spark, sf_dir)
+def _ranked(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """``found`` with ``within``: whether the exact rank of a percentile, counted over all rows, lies within its bound."""
     rows = table(spark, sf_dir, "records").select(
         squeeze("algo").alias("algo"), F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("omega", "elapsed_sec")]))
     )
@@ -151,7 +153,24 @@ def p5_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     want = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n") - F.lit(1e-9)))
     within = (want >= F.col("below") + 1 - F.col("max_rank_error")) & (want <= F.col("upto") + F.col("max_rank_error"))
-    return ranked.select("algo", "metric", "q", "n", within.alias("within"))
+    return ranked.select("algo", "metric", "q", "n", "max_rank_error", within.alias("within"))
+
+
+def p5_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the exact rank of every percentile lies within its bound."""
+    return _ranked(spark, sf_dir, p5_overall(spark, sf_dir)).drop("max_rank_error")
+
+
+#: Buffers so small that the groups of these tables are collapsed several times.
+SMALL_BUFFER = 32
+
+
+def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with small buffers: whether large groups were collapsed, the exact rank lies within the bound, and the bound within its share of the values."""
+    ranked = _ranked(spark, sf_dir, _overall(spark, sf_dir, SMALL_BUFFER))
+    collapsed = (F.col("n") <= 2 * SMALL_BUFFER * quantiles.FAN) | (F.col("max_rank_error") > 0)
+    share = quantiles.error_share(SMALL_BUFFER, quantiles.MOST)
+    return ranked.select("algo", "metric", "q", "n", "within", collapsed.alias("collapsed"), (F.col("max_rank_error") <= F.lit(share) * F.col("n")).alias("bounded"))
 
 
 # -- 6: packing --------------------------------------------------------------------
@@ -165,13 +184,21 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p6_packing(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the containers of each capacity; 0 each."""
+    packs = table(spark, sf_dir, "pack_sizes")
+    sized = packing.measured(table(spark, sf_dir, "documents"))
+    placed, _ = settle(packing.pack(sized, packs))
+    return packing.packing_check(placed, sized, packs)
+
+
 # -- 7: mixing ---------------------------------------------------------------------
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sized = mixing.measured(table(spark, sf_dir, "documents"))
     targets = table(spark, sf_dir, "mix_targets")
-    mixture = cut(mixing.mix(sized, targets))
+    mixture, _ = settle(mixing.mix(sized, targets))
     return mixture, mixing.mixture_shares(mixture, sized, targets)
 
 
@@ -185,6 +212,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each listed source, whether it is used no more often than it may be, and its share is as near its feasible one as its documents allow."""
+    shares = _mixture(spark, sf_dir)[1]
+    uses = (F.col("passes_used") <= F.col("max_repeats")) & (F.col("tokens_used") <= F.col("max_repeats") * F.col("tokens_available"))
+    return shares.select("source", uses.alias("uses_kept"), (F.abs("shortfall") <= F.col("share_bound") + F.lit(1e-9)).alias("share_kept"))
+
+
 # -- 8: sentences ------------------------------------------------------------------
 
 
@@ -194,7 +228,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_splits, p2_invariants, p5_percentiles, p5_overall, p5_within_bound, p6_packing, p6_report, p7_mixture, p7_shares, p8_found)
+    for f in (p2_found, p2_splits, p2_invariants, p5_percentiles, p5_overall, p5_within_bound, p5_collapsed, p6_packing, p6_report, p6_invariants, p7_mixture, p7_shares, p7_invariants, p8_found)
 }
 
 _GROUPS = r"""
@@ -217,13 +251,19 @@ cc(id, lab) USING KEY (id) AS (SELECT man_id, man_id FROM manifest
    GROUP BY l.a, now.lab HAVING min(cc.lab) < now.lab)
 """
 
-ORACLE_SQL = {
-    "p5_within_bound": """
+_RANKS = """
 WITH r AS (SELECT regexp_replace(lower(algo), '[^a-z0-9]+', '', 'g') AS algo, omega, elapsed_sec FROM records),
 v AS (SELECT algo, 'omega' AS metric, CASE WHEN isnan(omega) THEN NULL ELSE omega END AS x FROM r
       UNION ALL SELECT algo, 'elapsed_sec', CASE WHEN isnan(elapsed_sec) THEN NULL ELSE elapsed_sec END FROM r),
 n AS (SELECT algo, metric, count(x) AS n FROM v GROUP BY ALL)
-SELECT algo, metric, q, n, true AS within FROM n, unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) u(q) WHERE n > 0""",
+"""
+_QS = "FROM n, unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) u(q) WHERE n > 0"
+
+ORACLE_SQL = {
+    "p5_within_bound": _RANKS + "SELECT algo, metric, q, n, true AS within " + _QS,
+    "p6_invariants": "SELECT pack_name, 0::BIGINT AS over_capacity, 0::BIGINT AS with_gaps, 0::BIGINT AS tokens_missing, 0::BIGINT AS pieces_extra FROM pack_sizes WHERE capacity_tokens >= 1",
+    "p7_invariants": "SELECT source, true AS uses_kept, true AS share_kept FROM mix_targets",
+    "p5_collapsed": _RANKS + "SELECT algo, metric, q, n, true AS within, true AS collapsed, true AS bounded " + _QS,
     "p2_found": _GROUPS + "SELECT id AS man_id, lab AS group_id FROM cc",
     "p2_invariants": _GROUPS + "SELECT count(*) AS records, count(DISTINCT lab) AS groups, 0::BIGINT AS groups_in_two_splits, 0::BIGINT AS records_moved FROM cc",
 }

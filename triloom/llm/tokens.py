@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The folder of the vocabulary files; it must be there on every executor.
 TOKENIZER_DIR = os.environ.get("TRILOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Longer texts are cut for the tokenizer at white space, to keep its run time linear.
-CHUNK_CHARS = 100_000
+#: So many copies of a row are made in one task.
+COPIES = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -28,22 +28,8 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _chunks(text: str) -> Iterator[str]:
-    """The whole text in pieces; a piece ends before white space where there is any near."""
-    at = 0
-    while len(text) - at > CHUNK_CHARS:
-        end = at + CHUNK_CHARS
-        cut = max(text.rfind(" ", at + CHUNK_CHARS // 2, end), text.rfind("\n", at + CHUNK_CHARS // 2, end))
-        end = cut if cut > at else end
-        yield text[at:end]
-        at = end
-    yield text[at:]
-
-
 def count_tokens(text: str, path: str) -> int:
-    enc = encoding(path)
-    clean = text.encode("utf-8", "replace").decode("utf-8")
-    return sum(len(enc.encode_ordinary(c)) for c in _chunks(clean))
+    return len(encoding(path).encode_ordinary(text.encode("utf-8", "replace").decode("utf-8")))
 
 
 def token_count(text: Column | str, path: str | None = None) -> Column:
@@ -59,3 +45,17 @@ def token_count(text: Column | str, path: str | None = None) -> Column:
             yield pd.Series([None if t is None else count_tokens(t, path) for t in b], dtype="Int64")
 
     return count(text)
+
+
+def deal_copies(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The columns ``keys`` of every row and ``copy``, which tells equal rows apart: 0, 1, ...
+
+    Equal rows are counted (with a partial count before the shuffle) and made again from
+    their number, in blocks, so neither a row's place in a file nor the hottest row matters.
+    """
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
+    blocks = counted.withColumn("__block", F.explode(F.sequence(F.lit(0), F.expr(f"(__c - 1) div {COPIES}"))))
+    dealt = blocks.repartition(*keys, "__block")
+    first = F.col("__block") * F.lit(COPIES)
+    copies = F.sequence(first, F.least(first + F.lit(COPIES - 1), F.col("__c") - 1))
+    return dealt.select(*keys, F.explode(copies).alias("copy"))
