@@ -215,14 +215,14 @@ def degree_set(degrees: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return degrees.groupBy(*by).agg(s.alias("degree_set"))
 
 
-def threshold_report(edges: DataFrame, thresholds: Sequence[float]) -> DataFrame:
-    """threshold, h_nodes, star_edges, clique_edges: the triples are found once, at the least threshold."""
+def threshold_report(edges: DataFrame, thresholds: Sequence[float], mode: str = "star") -> DataFrame:
+    """threshold, h_nodes, star_edges, clique_edges, degree_set (of ``mode``): the triples are found once, at the least threshold."""
     from triloom.operators.similarity import closed_neighborhood_jaccard
 
     t = cut(admissible_triples(edges, closed_neighborhood_jaccard(min(thresholds))))
     grid = F.array(*[F.lit(float(x)) for x in sorted(set(thresholds))])
     at = t.select("*", F.explode(F.filter(grid, lambda g: g <= F.col("strength"))).alias("threshold"))
-    return hypergraph_size(at, ["threshold"])
+    return hypergraph_size(at, ["threshold"]).join(degree_set(hyper_degrees(at, mode, ["threshold"]), ["threshold"]), "threshold", "left")
 
 
 def threshold_communities(edges: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ input are dropped, null ends as well). Ids are any orderable type.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -47,12 +48,16 @@ def node_profile(edges: DataFrame, nodes: DataFrame | None = None, by: Sequence[
     return p.withColumn("degree", F.size("neighbors"))
 
 
-def wedges(adj: DataFrame, by: Sequence[str] = (), keep: Sequence[str] = (), hub: int = HUB_DEGREE) -> DataFrame:
+def wedges(adj: DataFrame, by: Sequence[str] = (), keep: Sequence[str] = (), hub: int = HUB_DEGREE, size: str | None = None, ratio: float = 0.0) -> DataFrame:
     """Every pair of neighbours x < y of a common center: ``by``, center, x, y and kept columns as <c>_x, <c>_y.
 
     A center with more than ``hub`` neighbours is dealt: its left side is salted by the
     neighbour, its right side repeated for every salt, so that its pairs are made in
     several tasks. Other centers have one salt and are not repeated.
+
+    With ``size`` (a kept column, a degree) and ``ratio`` only pairs are joined whose sizes
+    plus 1 lie in the same or a neighbouring class of a geometric scale of that ratio; all
+    pairs with (min + 1) / (max + 1) >= ratio are among them.
     """
     deals = adj.groupBy(*by, "node").agg(F.ceil(F.count(F.lit(1)) / F.lit(hub)).cast("int").alias("__deals"))
     dealt = adj.join(deals, [*by, "node"])
@@ -61,7 +66,13 @@ def wedges(adj: DataFrame, by: Sequence[str] = (), keep: Sequence[str] = (), hub
         *by, "node", F.col("nbr").alias("y"), *[F.col(c).alias(f"{c}_y") for c in keep],
         F.explode(F.sequence(F.lit(0), F.col("__deals") - 1)).alias("__salt"),
     )
-    joined = left.join(right, [*by, "node", "__salt"]).where("x < y")
+    on = [*by, "node", "__salt"]
+    if size is not None and 0 < ratio < 1:
+        scale = lambda c: F.floor(F.log(F.col(c).cast("double") + 1) / F.lit(-math.log(ratio) * (1 + 1e-9))).cast("int")
+        left = left.withColumn("__class", scale(f"{size}_x"))
+        right = right.withColumn("__class", F.explode(F.array(*[scale(f"{size}_y") + F.lit(k) for k in (-1, 0, 1)])))
+        on = [*on, "__class"]
+    joined = left.join(right, on).where("x < y")
     return joined.select(*by, F.col("node").alias("center"), "x", "y", *[f"{c}_{s}" for c in keep for s in "xy"])
 
 

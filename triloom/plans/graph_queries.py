@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,11 +124,16 @@ def uncovered_nodes(spark, sf_dir):
 
 
 def node_community(spark, sf_dir):
-    """The community of the smallest node that is in any."""
+    """seed, node: the communities of the smallest node that is in any, of the smallest that is in one but is no center, and of the largest."""
     e = part_graph(spark, sf_dir)
-    t = C.admissible_triples(e, S.closed_neighborhood_jaccard(THRESHOLD))
-    seed = t.agg(F.min("a")).first()[0]
-    return C.get_node_community(e, S.closed_neighborhood_jaccard(THRESHOLD), seed)
+    p = S.closed_neighborhood_jaccard(THRESHOLD)
+    t = cut(C.admissible_triples(e, p))
+    inside = t.select(F.explode(F.array("a", "b", "c")).alias("node")).distinct()
+    centers = t.select(F.explode(F.when(F.col("n_edges") == 3, F.array("a", "b", "c")).otherwise(F.array("center"))).alias("node"))
+    ends = inside.agg(F.min("node"), F.max("node")).first()
+    seeds = {*ends, inside.join(centers, "node", "left_anti").agg(F.min("node")).first()[0]} - {None}
+    found = [C.get_node_community(e, p, s).select(F.lit(s).alias("seed"), "node") for s in sorted(seeds)]
+    return reduce(DataFrame.unionAll, found) if found else inside.select(F.col("node").alias("seed"), "node")
 
 
 def threshold_report(spark, sf_dir):
@@ -371,14 +378,23 @@ ORACLE_SQL = {
     "SELECT community_id, CAST(row_number() OVER (ORDER BY k) AS INT) AS rank FROM fk",
     "node_overlap_count": _CC + "SELECT node, count(*) AS n_communities FROM cn GROUP BY 1",
     "uncovered_nodes": _CC + "SELECT node FROM deg WHERE node NOT IN (SELECT node FROM cn)",
-    "node_community": _CC + ", s AS (SELECT min(a) AS s FROM ta), c1 AS (SELECT min_by(cc.lab, key) AS lab FROM ta, s JOIN cc ON cc.id = a * "
-    + _N + " + b WHERE a = s AND ([a, b, c] = key OR true)) SELECT DISTINCT cn.node FROM cn, c1 WHERE community_id = (c1.lab // " + _N + ") || '-' || (c1.lab % " + _N + ")",
-    "threshold_report": _GRAPH + """, tr AS (SELECT ct.a, ct.b, ct.c, least(q1.jaccard, q2.jaccard, q3.jaccard) AS strength FROM ct
+    "node_community": _CC + f""", ce AS (SELECT ta.a, ta.b, ta.c, w.k, w.x, w.y FROM w JOIN ta ON list_sort([w.k, w.x, w.y]) = [ta.a, ta.b, ta.c]),
+       no AS (SELECT a AS n FROM ta UNION SELECT b FROM ta UNION SELECT c FROM ta),
+       se AS (SELECT min(n) AS s FROM no UNION SELECT max(n) FROM no UNION SELECT min(n) FROM no WHERE n NOT IN (SELECT k FROM ce)),
+       ft AS (SELECT s, a, b, CASE WHEN k = s THEN [0, x, y] ELSE [1, k, CASE WHEN x = s THEN y ELSE x END] END AS o FROM ce JOIN se ON s IN (a, b, c)),
+       f1 AS (SELECT s, arg_min(a * {_N} + b, o) AS q FROM ft GROUP BY 1)
+       SELECT DISTINCT s AS seed, cn.node FROM f1 JOIN cc ON cc.id = q JOIN cn ON community_id = (cc.lab // {_N}) || '-' || (cc.lab % {_N})""",
+    "threshold_report": _GRAPH + """, tr AS (SELECT ct.a, ct.b, ct.c, ct.key, least(q1.jaccard, q2.jaccard, q3.jaccard) AS strength FROM ct
        JOIN ps q1 ON q1.x = a AND q1.y = b JOIN ps q2 ON q2.x = a AND q2.y = c JOIN ps q3 ON q3.x = b AND q3.y = c),
        g AS (SELECT unnest([0.1::DOUBLE, 0.15::DOUBLE, 0.2::DOUBLE]) AS threshold), ta AS (SELECT * FROM tr JOIN g ON strength >= threshold),
-       tp AS (SELECT threshold, a AS x, b AS y FROM ta UNION ALL SELECT threshold, a, c FROM ta UNION ALL SELECT threshold, b, c FROM ta),
-       m AS (SELECT threshold, x, y, count(*) AS m FROM tp GROUP BY ALL)
-       SELECT threshold, CAST(sum(m) // 3 AS BIGINT) AS h_nodes, CAST(sum(m - 1) AS BIGINT) AS star_edges, CAST(sum(m * (m - 1) // 2) AS BIGINT) AS clique_edges FROM m GROUP BY 1""",
+       tp AS (SELECT threshold, a AS x, b AS y, a, b, c, key FROM ta UNION ALL SELECT threshold, a, c, a, b, c, key FROM ta UNION ALL SELECT threshold, b, c, a, b, c, key FROM ta),
+       m AS (SELECT threshold, x, y, count(*) AS m, arg_min([a, b, c], key) AS f FROM tp GROUP BY ALL),
+       st AS (SELECT tp.threshold, [tp.a, tp.b, tp.c] AS p, f FROM tp JOIN m USING (threshold, x, y) WHERE [tp.a, tp.b, tp.c] <> f),
+       en AS (SELECT threshold, p FROM st UNION ALL SELECT threshold, f FROM st), dn AS (SELECT threshold, p, count(*) AS g FROM en GROUP BY ALL),
+       dg AS (SELECT DISTINCT ta.threshold, coalesce(g, 0) AS g FROM ta LEFT JOIN dn ON dn.threshold = ta.threshold AND p = [a, b, c]),
+       ds AS (SELECT threshold, '{' || string_agg(g, ',' ORDER BY g) || '}' AS degree_set FROM dg GROUP BY 1)
+       SELECT threshold, CAST(sum(m) // 3 AS BIGINT) AS h_nodes, CAST(sum(m - 1) AS BIGINT) AS star_edges, CAST(sum(m * (m - 1) // 2) AS BIGINT) AS clique_edges, any_value(degree_set) AS degree_set
+       FROM m JOIN ds USING (threshold) GROUP BY 1""",
     "graph_components": _GRAPH + """, cc(id, lab) USING KEY (id) AS (SELECT DISTINCT node, node FROM adj UNION SELECT adj.node, min(cc.lab) FROM cc JOIN adj ON adj.nbr = cc.id
        JOIN recurring.cc AS now ON now.id = adj.node GROUP BY adj.node, now.lab HAVING min(cc.lab) < now.lab) SELECT id AS node, lab AS root FROM cc""",
     "pair_counts": _CC + "SELECT p.node AS x, q.node AS y, count(*) AS cnt FROM cn p JOIN cn q ON p.community_id = q.community_id AND p.node < q.node GROUP BY 1, 2",
@@ -398,6 +414,10 @@ ORACLE_SQL = {
     "plan_units": """WITH u AS (SELECT shape, o AS overlap_pct, r AS run, printf('%s_o%02d_run%d', shape, o, r) AS traj FROM shapes_table, unnest([0, 5, 10]) x(o), unnest([1, 2, 3]) y(r))
        SELECT traj, shape, overlap_pct, run, CAST('0x' || substr(md5(traj), 1, 8) AS BIGINT) AS seed FROM u""",
     "valid_configs": "SELECT n, z, ring_size FROM unnest([400, 600]) a(n), unnest([4, 7, 8, 16]) b(z), unnest([8, 25, 50, 100]) c(ring_size) WHERE n % ring_size = 0 AND z % 2 = 0 AND z < ring_size",
+    "shape_problems": _RINGS + """, g AS (SELECT shape, count(DISTINCT size) AS s, count(DISTINCT z) AS z, sum(size * (z // 2)) AS e FROM r GROUP BY 1)
+       SELECT shape, NULL::INT AS ring, 'ring sizes are not uniform' AS problem FROM g WHERE s > 1 UNION ALL SELECT shape, NULL, 'z does not vary across rings' FROM g WHERE z < 2
+       UNION ALL SELECT shape, NULL, 'the edges cannot be divided into the steps' FROM g WHERE e % 100 <> 0
+       UNION ALL SELECT shape, ring, 'z is odd' FROM r WHERE z % 2 <> 0 UNION ALL SELECT shape, ring, 'z is not smaller than the ring size' FROM r WHERE z >= size""",
     "predicted_cost": "SELECT shape, round(exp(-7.18 + 1.24 * ln(n) + 2.35 * ln(edges / n)), 6) AS ms FROM shapes_table",
     "cost_model_error": "SELECT round(max(abs(exp(-7.18 + 1.24 * ln(n) + 2.35 * ln(e / n)) / ms - 1)), 9) AS worst_error FROM (VALUES "
     + ", ".join(f"({n}, {e}, {ms}::DOUBLE)" for n, e, ms in COST_SAMPLES) + ") v(n, e, ms)",

@@ -54,6 +54,16 @@ def plan_units(shapes: DataFrame, overlap_pcts: Sequence[int], runs: int) -> Dat
     return u.select("traj", "shape", "overlap_pct", (F.col("overlap_pct") / 100.0).alias("overlap"), "run", G.unit_seed("traj").alias("seed"))
 
 
+def chosen_shapes(shapes: DataFrame, names: Sequence[str] | None) -> DataFrame:
+    """The rows of the shapes named; a name that is no shape raises. All shapes if no names are given."""
+    if not names:
+        return shapes
+    found = {r["shape"] for r in shapes.where(F.col("shape").isin(*names)).select("shape").distinct().collect()}  # at most the names given
+    if unknown := sorted(set(names) - found):
+        raise ValueError(f"unknown shapes: {', '.join(unknown)}")
+    return shapes.where(F.col("shape").isin(*names))
+
+
 def valid_configs(ns: Sequence[int], zs: Sequence[int], ring_sizes: Sequence[int], spark: SparkSession) -> DataFrame:
     """n, z, ring_size with the ring dividing n, even z and z < ring."""
     rows = spark.createDataFrame([(int(n),) for n in ns], "n int")
@@ -63,22 +73,29 @@ def valid_configs(ns: Sequence[int], zs: Sequence[int], ring_sizes: Sequence[int
 
 
 def shape_problems(rings: DataFrame, kind: str = "z", p_step: float = 0.01) -> DataFrame:
-    """shape, problem: what is wrong with a shape. ``kind``: what shall vary, ``z``, ``size`` or ``both``."""
+    """shape, ring, problem: what is wrong with a shape (ring null) or one of its rings. ``kind``: what shall vary, ``z``, ``size`` or ``both``.
+
+    A ring without size or z stands for lists of different length.
+    """
     steps = int(round(1 / p_step))
     per = rings.groupBy("shape").agg(
         F.countDistinct("size").alias("sizes"), F.countDistinct("z").alias("zs"), F.sum(F.expr("size * z div 2")).alias("edges"),
-        F.max(F.col("z") % 2).alias("odd"), F.max((F.col("z") >= F.col("size")).cast("int")).alias("wide"),
+        F.max((F.col("size").isNull() | F.col("z").isNull()).cast("int")).alias("uneven"),
     )
     said = [
+        F.when(F.col("uneven") == 1, "sizes and zs differ in length"),
         F.when((F.col("sizes") > 1) & F.lit(kind == "z"), "ring sizes are not uniform"),
         F.when((F.col("zs") < 2) & F.lit(kind in ("z", "both")), "z does not vary across rings"),
         F.when((F.col("zs") > 1) & F.lit(kind == "size"), "z is not uniform"),
         F.when((F.col("sizes") < 2) & F.lit(kind in ("size", "both")), "ring size does not vary"),
-        F.when(F.col("odd") != 0, "z is odd"),
-        F.when(F.col("wide") == 1, "z is not smaller than the ring size"),
         F.when(F.col("edges") % steps != 0, "the edges cannot be divided into the steps"),
     ]
-    return per.select("shape", F.explode(F.array_compact(F.array(*said))).alias("problem"))
+    whole = per.select("shape", F.lit(None).cast("int").alias("ring"), F.explode(F.array_compact(F.array(*said))).alias("problem"))
+    each = [
+        F.when(F.col("size") < 1, "the size is below 1"), F.when(F.col("z") < 0, "z is negative"), F.when(F.col("z") % 2 != 0, "z is odd"),
+        F.when(F.col("z") >= F.col("size"), "z is not smaller than the ring size"),
+    ]
+    return whole.unionByName(rings.select("shape", "ring", F.explode(F.array_compact(F.array(*each))).alias("problem")))
 
 
 def duplicate_keys(rows: DataFrame, key: str) -> DataFrame:
@@ -295,7 +312,7 @@ def build_units(units: DataFrame, rings: DataFrame, steps: int, at: Sequence[int
     edges = G.ring_lattice(mine, ["traj"])
     merges = G.overlap_merges(units, rings)
     truth = G.contract_truth(G.ring_truth(mine, ["traj"]), merges)
-    log = G.rewire_log(G.contract_edges(edges, merges), units)
+    log = G.rewire_log(G.contract_edges(edges, merges), units, nodes=truth.select("traj", "node").distinct())
     return G.snapshots(log, steps, at=at), truth
 
 
