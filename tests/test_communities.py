@@ -223,3 +223,20 @@ def test_baselines(spark):
     assert len({r["community_id"] for r in lpa}) == 2
     assert B.speaker_listener(e, rounds=4).count() >= 7
     assert B.ego_communities(e).count() >= 3
+
+
+def test_degree_bound_loses_no_pair(spark):
+    r = random.Random(5)
+    edges = [(0, i) for i in range(1, 120)] + [(r.randrange(120), r.randrange(120)) for _ in range(500)] + [(200, 201), (201, 202)]
+    e = graph(spark, edges)
+    whole = {(x["x"], x["y"]): x["jaccard"] for x in S.pair_similarity(e).collect()}
+    for least in (0.05, 0.25, 1 / 3, 0.5, 0.9, 1.0):
+        got = {(x["x"], x["y"]): x["jaccard"] for x in S.pair_similarity(e, least_jaccard=least).collect()}
+        assert got == {k: v for k, v in whole.items() if v >= least}
+
+
+def test_user_measure(spark):
+    e = graph(spark, [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5)])
+    same = lambda u, v: len((u.neighbors | {u.id}) & (v.neighbors | {v.id})) / len(u.neighbors | {u.id} | v.neighbors | {v.id})
+    assert S.avg_threshold(e, 0.6, same).first()[0] == pytest.approx(S.avg_threshold(e, 0.6).first()[0])
+    assert [x[0] for x in S.representative_thresholds(e, measure=same).collect()] == pytest.approx([x[0] for x in S.representative_thresholds(e).collect()])

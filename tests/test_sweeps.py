@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,54 @@ def test_running_sum(spark):
     for i in range(100):
         want[i] = sum(1 for j in range(i + 1) if j % 3 == i % 3 and j != 7)
     assert got == want
+
+
+def test_rewiring_reaches_nodes_without_edges(spark):
+    edges = spark.createDataFrame([("t", i, i + 1) for i in range(20)], "traj string, src bigint, dst bigint")
+    nodes = spark.createDataFrame([("t", i) for i in range(200)], "traj string, node bigint")
+    seeds = spark.createDataFrame([("t", 5)], "traj string, seed bigint")
+    log = G.rewire_log(edges, seeds, nodes=nodes).collect()
+    assert len(log) == 20
+    assert any(r["new"] > 20 for r in log)
+    assert all(r["new"] <= 20 for r in G.rewire_log(edges, seeds).collect())
+
+
+def test_first_fit_is_that_of_a_loop():
+    rng = np.random.default_rng(0)
+    for n in (2, 10, 50):
+        u, v = rng.integers(0, n, 200), rng.integers(0, n, 200)
+        apart = u != v
+        u, v = u[apart], v[apart]
+        used, want = set(), []
+        for i, (a, b) in enumerate(zip(u.tolist(), v.tolist())):
+            if a not in used and b not in used:
+                want.append(i)
+                used |= {a, b}
+        assert G.first_fit(u, v, n).tolist() == want
+
+
+def test_chosen_shapes(spark):
+    shapes = spark.createDataFrame([("a",), ("b",)], "shape string")
+    assert sweep.chosen_shapes(shapes, ["a"]).collect() == [("a",)]
+    assert sweep.chosen_shapes(shapes, None).count() == 2
+    with pytest.raises(ValueError, match="c, d"):
+        sweep.chosen_shapes(shapes, ["a", "d", "c"])
+
+
+def test_problems_of_rings(spark):
+    rings = spark.createDataFrame([("u", 0, 10, 4), ("u", 1, 12, 3), ("u", 2, 4, 4), ("u", 3, 5, None)], G.SHAPE_SCHEMA)
+    got = {(r["ring"], r["problem"]) for r in sweep.shape_problems(rings, "z", 1.0).collect()}
+    assert got == {(None, "sizes and zs differ in length"), (None, "ring sizes are not uniform"), (1, "z is odd"), (2, "z is not smaller than the ring size")}
+
+
+def test_one_call_on_arrays(spark):
+    from triloom.operators.communities import get_communities
+    from triloom.operators.similarity import closed_neighborhood_jaccard
+
+    edges = G.ring_lattice(G.shape_rings(spark, [("s", [20, 30], [4, 6])])).select("src", "dst")
+    pdf = edges.toPandas()
+    got = sorted(sorted(c.tolist()) for c in sweep.detect(pdf["src"].to_numpy(), pdf["dst"].to_numpy(), 0.2))
+    want = {}
+    for r in get_communities(edges, closed_neighborhood_jaccard(0.2)).collect():
+        want.setdefault(r["community_id"], []).append(r["node"])
+    assert got == sorted(sorted(v) for v in want.values())

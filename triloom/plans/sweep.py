@@ -209,6 +209,13 @@ def nested_covers(triples: np.ndarray, strength: np.ndarray, n: int, thresholds:
     return out
 
 
+def detect(src: np.ndarray, dst: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """The communities of one small graph at one threshold, as arrays of node ids; large graphs go through ``get_communities``."""
+    ids, triples, strength = snapshot_triples(src, dst)
+    community, node = nested_covers(triples, strength, len(ids), [threshold])[threshold]
+    return np.split(ids[node], np.flatnonzero(np.diff(community)) + 1) if len(node) else []
+
+
 #: Random weights of communities; the sum over a node's communities tells its class.
 _WEIGHTS = np.random.default_rng(1).integers(1, 1 << 62, size=(2, 1 << 16), dtype=np.int64)
 
