@@ -88,6 +88,25 @@ def test_a_batch_is_applied_once(spark):
     assert set(s.state()["homes"]) == set(before)  # it went to its identifier's home
 
 
+def test_index_is_compacted_and_old_versions_are_deleted(spark, monkeypatch):
+    from triloom.operators import deliveries
+
+    monkeypatch.setattr(deliveries, "MOST_INDEX", 2)
+    rows = [(i, f"r{i % 7}_o1_run1", 0.1 * (i % 3), "x", T0 + dt.timedelta(days=i % 4, minutes=i)) for i in range(60)]
+    s = DeliveryStore(spark, new_table_dir(spark, "t"), record_identifier())
+    for k in range(5):
+        s.apply(spark.createDataFrame(rows[k * 12 : (k + 1) * 12], REC), f"b{k}")
+        assert len(s.state()["index"]) <= 2
+    kept = sorted(r["rec_id"] for r in s.current().collect())
+    assert sorted(r["rec_id"] for r in s.dropped().collect()) == brute_drop(rows) == sorted(set(range(60)) - set(kept))
+    assert s.vacuum() > 0
+    assert sorted(r["rec_id"] for r in s.current().collect()) == kept
+    s.apply(spark.createDataFrame([(99, "r0_o1_run1", 0.0, "x", T0 + dt.timedelta(days=30))], REC), "last")
+    assert len(s.current().collect()) == len(kept)
+    assert s.vacuum() > 0
+    assert s.vacuum() == 0
+
+
 FILES = "file_id bigint, path string, n_bytes bigint, modified_at timestamp_ntz, content string, kind string, traj_id string"
 
 

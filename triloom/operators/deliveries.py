@@ -13,6 +13,11 @@ which partition that is. A batch of messages is merged by
    one atomic rename of a manifest. Readers see the state before or after, never
    between; a batch that was committed is not applied again.
 
+The index grows by the new identifiers of each batch. A batch that is small enough to be
+broadcast filters it while it is scanned, so the history is not shuffled for it; when
+``MOST_INDEX`` parts have come together they are written as one, and ``vacuum`` deletes
+what no state refers to any more.
+
 Defined results: a message with a null or NaN part in its identifier identifies
 nothing and is always kept; of equal load times the largest row id wins; a null load
 time loses against any other; rows that repeat a row id are one row; an empty batch
@@ -28,11 +33,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from triloom.functions.naming import micro_units, squeeze, trajectory_key
-from triloom.runtime import cut, hadoop_path, observed_values
+from triloom.runtime import broadcast_bytes, cut, delete_path, hadoop_path, observed_values, plan_bytes, settle
 from triloom.sources.versions import VersionLog
 
 _OWN = ("__home", "__part")
 _LOST = "lost"
+MOST_INDEX = 16
 
 
 def record_identifier() -> list[Column]:
@@ -62,6 +68,10 @@ class DeliveryStore:
     def _read(self, dirs: Sequence[str]) -> DataFrame:
         return self.spark.read.parquet(*dirs)
 
+    def _index(self, s: dict) -> DataFrame:
+        """__k1, __k2, __home of every identifier."""
+        return self._read(s["index"]).where("__new").select("__k1", "__k2", "__home")
+
     def current(self) -> DataFrame:
         """One row per identified message, and every message without an identifier."""
         s = self.state()
@@ -101,7 +111,11 @@ class DeliveryStore:
         incoming = batch.select(*self._key(), self._home(), self._rank(), F.lit(True).alias("__new"))
         old = None
         if s["index"]:
-            index = self._read(s["index"]).where("__new").select("__k1", "__k2", F.col("__home").alias("__old"))
+            index = self._index(s).withColumnRenamed("__home", "__old")
+            incoming, _ = settle(incoming)
+            few = incoming.select("__k1", "__k2").distinct()
+            if plan_bytes(few) <= broadcast_bytes(self.spark):
+                index = index.join(F.broadcast(few), ["__k1", "__k2"], "left_semi")  # of a size just looked at
             incoming = cut(
                 incoming.join(index, ["__k1", "__k2"], "left").select(
                     "__k1", "__k2", F.coalesce("__old", "__home").alias("__home"), "__rank", F.col("__old").isNull().alias("__new")
@@ -132,9 +146,33 @@ class DeliveryStore:
             "applied": [*s["applied"], batch_name],
             "dropped": [*s["dropped"], f"{here}/data/__part={_LOST}"],
         }
+        if len(s["index"]) > MOST_INDEX:
+            whole = f"{here}/whole_index"
+            self._index(s).withColumn("__new", F.lit(True)).write.mode("overwrite").parquet(whole)
+            s["index"] = [whole]
         self.log.commit(s)
         return s
 
+    def vacuum(self) -> int:
+        """Deletes the folders of earlier versions that the state does not refer to; returns how many. No reader may still use an earlier state."""
+        s = self.state()
+        held = {*s["homes"].values(), *s["index"], *s["dropped"]}
+        gone = 0
+        for v in range(1, s["version"] + 1):
+            fs, folder = hadoop_path(self.spark, f"{self.path}/v{v:08d}")
+            for kind in ("index", "whole_index"):
+                at = f"{self.path}/v{v:08d}/{kind}"
+                if at not in held and fs.exists(hadoop_path(self.spark, at)[1]):
+                    delete_path(self.spark, at)
+                    gone += 1
+            _, data = hadoop_path(self.spark, f"{self.path}/v{v:08d}/data")
+            for part in fs.listStatus(data) if fs.exists(data) else []:
+                at = f"{self.path}/v{v:08d}/data/{part.getPath().getName()}"
+                if part.isDirectory() and at not in held:
+                    delete_path(self.spark, at)
+                    gone += 1
+        return gone
+
     def _write(self, rows: DataFrame, best: DataFrame, to: str) -> int:
         """Winners to the directory of their home, the others to one of their own; returns the winners written.
 

@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", app: str = "triloom", shuffle: int = 8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TRILOOM_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -92,6 +93,16 @@ def new_table_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The size the optimizer expects of ``df``; of a settled table it follows from its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_bytes(spark: SparkSession) -> int:
+    """The size up to which the session broadcasts a table; -1 if never."""
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+
+
 def hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
