@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triloom.operators.graph import wedges
+from triloom.runtime import settle
+
 
 def pair_counts(cover: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``by``, x < y, cnt: in how many communities two nodes are together."""
@@ -60,21 +63,21 @@ def omega_index(truth: DataFrame, detected: DataFrame, totals: DataFrame, by: Se
     """``by``, omega by classes of nodes with the same communities in both covers.
 
     A pair of classes stands for all its node pairs, so a community of m nodes costs no
-    m^2 rows. Only classes that share a community are paired.
+    m^2 rows. Only classes that share a community are paired, and the pairs of a community
+    of very many classes are made in several tasks.
     """
     by = list(by)
     t = truth.select(*by, "node", F.concat(F.lit("t"), F.col("community_id").cast("string")).alias("id"))
     d = detected.select(*by, "node", F.concat(F.lit("d"), F.col("community_id").cast("string")).alias("id"))
     signed = t.unionAll(d).groupBy(*by, "node").agg(F.sort_array(F.collect_set("id")).alias("sig"))
-    classes = signed.groupBy(*by, "sig").agg(F.count(F.lit(1)).alias("m"))
-    named = classes.withColumn("h", F.xxhash64("sig")).select(*by, "h", "sig", "m")
-    parts = named.select(*by, "h", "m", "sig", F.explode("sig").alias("id"))
-    left = parts.select(*by, "id", F.col("sig").alias("s1"), F.col("m").alias("m1"))
-    right = parts.select(*by, "id", F.col("sig").alias("s2"), F.col("m").alias("m2"))
-    met = left.join(right, [*by, "id"]).where("s1 <= s2")
-    kinds = met.groupBy(*by, "s1", "s2", "m1", "m2").agg(
-        F.count_if(F.col("id").startswith("t")).alias("c1"), F.count_if(F.col("id").startswith("d")).alias("c2")
+    classes, _ = settle(signed.groupBy(*by, "sig").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("nbr")))
+    # a class is named by its smallest node; a community of many classes is dealt like a hub with many neighbours
+    met = wedges(classes.select(*by, F.explode("sig").alias("node"), "nbr", "m"), by, keep=["m"])
+    kinds = met.groupBy(*by, "x", "y", "m_x", "m_y").agg(
+        F.count_if(F.col("center").startswith("t")).alias("c1"), F.count_if(F.col("center").startswith("d")).alias("c2")
     )
-    pairs = F.when(F.col("s1") == F.col("s2"), F.col("m1") * (F.col("m1") - 1) / 2).otherwise(F.col("m1") * F.col("m2")).cast("bigint")
-    joint = kinds.withColumn("pairs", pairs).groupBy(*by, "c1", "c2").agg(F.sum("pairs").alias("pairs"))
+    across = kinds.select(*by, "c1", "c2", (F.col("m_x") * F.col("m_y")).alias("pairs"))
+    count = lambda k: F.size(F.filter("sig", lambda i: i.startswith(k))).cast("bigint")
+    within = classes.select(*by, count("t").alias("c1"), count("d").alias("c2"), F.expr("m * (m - 1) div 2").alias("pairs"))
+    joint = across.unionByName(within.where("pairs > 0")).groupBy(*by, "c1", "c2").agg(F.sum("pairs").alias("pairs"))
     return _index(joint, totals, by)
