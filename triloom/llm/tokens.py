@@ -44,7 +44,8 @@ def token_count(text: Column | str, path: str | None = None) -> Column:
         for b in batches:
             yield pd.Series([None if t is None else count_tokens(t, path) for t in b], dtype="Int64")
 
-    return count(text)
+    # so that a filter on the number is not moved below it, which would count twice
+    return count.asNondeterministic()(text)
 
 
 def deal_copies(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
