@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from triloom.operators import baselines, communities as C, omega as O, similarity as S
 from triloom.operators.components import components
-from triloom.operators.graph import canonical_edges, node_profile, two_hop
+from triloom.operators.graph import adjacency, canonical_edges, node_profile, two_hop
 from triloom.plans import sweep
 from triloom.plans.data_queries import table
-from triloom.runtime import cut
+from triloom.runtime import cut, settle
 from triloom.sources import generators as G
 
 THRESHOLD = 0.15
@@ -273,6 +273,38 @@ def adaptive_walk(spark, sf_dir):
     return sweep.adaptive_walk(sweep.sweep_snapshots(snaps, truth, sweep.t_grid_uniform()))
 
 
+def sweep_at_start(spark, sf_dir):
+    """traj, omega: before any rewiring and without overlap the best threshold finds every shape's rings."""
+    shapes = table(spark, sf_dir, "shapes_table")
+    rings = cut(G.rings_of_text(shapes))
+    snaps, truth = sweep.build_units(cut(sweep.plan_units(shapes, [0], 2)), rings, 100, at=[0])
+    best = sweep.argmax_per_step(sweep.sweep_snapshots(snaps, truth, sweep.t_grid_uniform()))
+    return best.select("traj", F.round("omega_at_argmax", 9).alias("omega"))
+
+
+def rewire_invariants(spark, sf_dir):
+    """traj, steps, different numbers of edges and of ends beyond the shape's nodes: rewiring keeps edges, and without overlap they are the shape's."""
+    shapes = table(spark, sf_dir, "shapes_table")
+    snaps, _ = _sweep(spark, sf_dir)
+    per = snaps.where("src < dst").groupBy("traj", "step").agg(F.count_distinct("src", "dst").alias("edges"), F.max("dst").alias("top"))
+    per = per.groupBy("traj").agg(F.count(F.lit(1)).alias("steps"), F.min("edges").alias("lo"), F.max("edges").alias("hi"), F.max("top").alias("top"))
+    units = sweep.plan_units(shapes, [0, 5], 2).join(shapes.select("shape", F.col("edges").alias("own"), "n"), "shape")
+    return per.join(units, "traj").select(
+        "traj", "steps", (F.col("lo") == F.col("hi")).alias("edges_kept"),
+        F.when(F.col("overlap_pct") == 0, F.col("lo") == F.col("own")).otherwise(F.col("lo") <= F.col("own")).alias("edges_of_shape"), (F.col("top") < F.col("n")).alias("nodes_of_shape"),
+    )
+
+
+def label_propagation_check(spark, sf_dir):
+    """Nodes, those with more than one label, and those that hear another label more often than their own; none of the latter."""
+    e = part_graph(spark, sf_dir)
+    labels, _ = settle(baselines.label_propagation(e))
+    heard = adjacency(e).join(labels.select(F.col("node").alias("nbr"), "community_id"), "nbr").select("node", "community_id").unionAll(labels.select("node", "community_id"))
+    counted = heard.groupBy("node", "community_id").agg(F.count(F.lit(1)).alias("c")).join(labels.withColumnRenamed("community_id", "own"), "node")
+    per = counted.groupBy("node").agg(F.max(F.when(F.col("community_id") == F.col("own"), F.col("c"))).alias("mine"), F.max("c").alias("most"), F.count_distinct("own").alias("labels"))
+    return per.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("labels") > 1).alias("of_two_labels"), F.count_if(F.col("mine") < F.col("most")).alias("unsettled"))
+
+
 def label_propagation(spark, sf_dir):
     return baselines.label_propagation(part_graph(spark, sf_dir))
 
@@ -293,7 +325,7 @@ QUERIES = {
         communities, community_sizes, community_order, node_overlap_count, uncovered_nodes, node_community,
         threshold_report, threshold_sweep_counts, graph_components, pair_counts, avg_threshold, representative_thresholds, omega_of_covers, omega_direct,
         ring_offsets, ring_truth, ring_lattice_edges, ring_edge_counts, shapes_rebuilt, overlap_contract, overlap_truth, plan_units, valid_configs,
-        shape_problems, predicted_cost, cost_model_error, predicted_hours, rewire_snapshots, sweep_argmax, adaptive_walk, label_propagation, speaker_listener, ego_communities,
+        shape_problems, predicted_cost, cost_model_error, predicted_hours, rewire_snapshots, rewire_invariants, sweep_at_start, sweep_argmax, adaptive_walk, label_propagation, label_propagation_check, speaker_listener, ego_communities,
     )
 }
 
@@ -418,6 +450,9 @@ ORACLE_SQL = {
        SELECT shape, NULL::INT AS ring, 'ring sizes are not uniform' AS problem FROM g WHERE s > 1 UNION ALL SELECT shape, NULL, 'z does not vary across rings' FROM g WHERE z < 2
        UNION ALL SELECT shape, NULL, 'the edges cannot be divided into the steps' FROM g WHERE e % 100 <> 0
        UNION ALL SELECT shape, ring, 'z is odd' FROM r WHERE z % 2 <> 0 UNION ALL SELECT shape, ring, 'z is not smaller than the ring size' FROM r WHERE z >= size""",
+    "sweep_at_start": "SELECT printf('%s_o00_run%d', shape, r) AS traj, 1.0::DOUBLE AS omega FROM shapes_table, unnest([1, 2]) y(r)",
+    "rewire_invariants": "SELECT printf('%s_o%02d_run%d', shape, o, r) AS traj, 101::BIGINT AS steps, true AS edges_kept, true AS edges_of_shape, true AS nodes_of_shape FROM shapes_table, unnest([0, 5]) x(o), unnest([1, 2]) y(r)",
+    "label_propagation_check": _GRAPH + "SELECT count(*) AS nodes, 0::BIGINT AS of_two_labels, 0::BIGINT AS unsettled FROM deg",
     "predicted_cost": "SELECT shape, round(exp(-7.18 + 1.24 * ln(n) + 2.35 * ln(edges / n)), 6) AS ms FROM shapes_table",
     "cost_model_error": "SELECT round(max(abs(exp(-7.18 + 1.24 * ln(n) + 2.35 * ln(e / n)) / ms - 1)), 9) AS worst_error FROM (VALUES "
     + ", ".join(f"({n}, {e}, {ms}::DOUBLE)" for n, e, ms in COST_SAMPLES) + ") v(n, e, ms)",

@@ -16,7 +16,14 @@ _SHARED: list[tuple[SparkSession, str]] = []
 
 
 def local_session(cores: int | str = "*", app: str = "triloom", shuffle: int = 8) -> SparkSession:
-    """A single-JVM session for tests and the bench; clusters bring their own."""
+    """A single-JVM session for tests and the bench; clusters bring their own.
+
+    Its Python workers find this package from wherever the session is started.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in path:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, path)])
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
