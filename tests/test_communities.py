@@ -240,3 +240,16 @@ def test_user_measure(spark):
     same = lambda u, v: len((u.neighbors | {u.id}) & (v.neighbors | {v.id})) / len(u.neighbors | {u.id} | v.neighbors | {v.id})
     assert S.avg_threshold(e, 0.6, same).first()[0] == pytest.approx(S.avg_threshold(e, 0.6).first()[0])
     assert [x[0] for x in S.representative_thresholds(e, measure=same).collect()] == pytest.approx([x[0] for x in S.representative_thresholds(e).collect()])
+
+
+def test_triangles(spark):
+    from triloom.operators.graph import triangles
+
+    r = random.Random(9)
+    pairs = [(0, i) for i in range(1, 60)] + [(r.randrange(60), r.randrange(60)) for _ in range(250)]
+    e = graph(spark, pairs)
+    links = {(x["src"], x["dst"]) for x in e.collect()}
+    want = {(a, b, c) for a, b in links for c in range(60) if (b, c) in links and (a, c) in links}
+    got = [tuple(sorted(x)) for x in triangles(e).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert triangles(graph(spark, [(1, 2)])).count() == 0

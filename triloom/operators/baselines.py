@@ -8,13 +8,14 @@ among its neighbours, ties by a seeded hash. Covers are long tables
 from __future__ import annotations
 
 import warnings
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triloom.operators.components import components
-from triloom.operators.graph import adjacency, node_table
+from triloom.operators.graph import adjacency, node_table, triangles
 from triloom.runtime import cut
 
 
@@ -81,9 +82,9 @@ def ego_communities(edges: DataFrame, merge: float = 0.25, rounds: int = 10) ->
     the smaller id counts as larger). What is merged so, in chains too, is one community with
     the members of all. Egos are worked out one task each.
     """
-    adj = adjacency(edges)
-    ego = adj.select(F.col("node").alias("ego"), F.col("nbr").alias("node"))
-    inside = ego.join(adj, "node").join(ego.select("ego", F.col("node").alias("nbr")), ["ego", "nbr"]).select("ego", "node", "nbr")
+    # an edge inside a neighbourhood closes a triangle, which stands in that of each of its nodes
+    corner = lambda e, u, v: F.struct(F.col(e).alias("ego"), F.col(u).alias("node"), F.col(v).alias("nbr"))
+    inside = triangles(edges).select(F.inline(F.array(*[corner(*p) for p in permutations("abc")])))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         me = pdf["ego"].iloc[0]
@@ -103,7 +104,7 @@ def ego_communities(edges: DataFrame, merge: float = 0.25, rounds: int = 10) ->
         out = [(f"{me}:{g}", v) for v, g in label.items()] + [(f"{me}:{g}", me) for g in set(label.values())]
         return pd.DataFrame(out, columns=["community_id", "node"])
 
-    kind = dict(ego.dtypes)["node"]
+    kind = dict(edges.dtypes)["src"]
     groups = cut(inside.groupBy("ego").applyInPandas(run, f"community_id string, node {kind}"))
     size = groups.groupBy("community_id").agg(F.count(F.lit(1)).alias("m")).where("m >= 3")
     groups = cut(groups.join(size, "community_id"))

@@ -76,6 +76,22 @@ def wedges(adj: DataFrame, by: Sequence[str] = (), keep: Sequence[str] = (), hub
     return joined.select(*by, F.col("node").alias("center"), "x", "y", *[f"{c}_{s}" for c in keep for s in "xy"])
 
 
+def triangles(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, a, b, c of every triangle once.
+
+    Every edge points to its end of higher degree (then id), and pairs are made of the edges
+    that leave a node: at most sqrt(2 m) of m edges leave one, so a hub makes few pairs.
+    """
+    d = degrees(edges, by)
+    rows = edges.select(*by, "src", "dst")
+    for end in ("src", "dst"):
+        rows = rows.join(d.select(*by, F.col("node").alias(end), F.col("degree").alias(f"d_{end}")), [*by, end])
+    up = F.struct("d_src", "src") < F.struct("d_dst", "dst")
+    out = rows.select(*by, F.when(up, F.col("src")).otherwise(F.col("dst")).alias("node"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("nbr"))
+    closing = edges.select(*by, F.col("src").alias("x"), F.col("dst").alias("y"))
+    return wedges(out, by).join(closing, [*by, "x", "y"]).select(*by, F.col("center").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"))
+
+
 def two_hop(edges: DataFrame, node, by: Sequence[str] = ()) -> DataFrame:
     """Nodes at distance 1 or 2 of one node."""
     adj = adjacency(edges, by)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triloom.operators import baselines, communities as C, omega as O, similarity as S
+from triloom.operators import baselines, communities as C, graph, omega as O, similarity as S
 from triloom.operators.components import components
 from triloom.operators.graph import adjacency, canonical_edges, node_profile, two_hop
 from triloom.plans import sweep
@@ -69,6 +69,11 @@ def two_hop_nodes(spark, sf_dir):
     return two_hop(e, e.agg(F.min("src")).first()[0])
 
 
+def triangles(spark, sf_dir):
+    t = F.sort_array(F.array("a", "b", "c"))
+    return graph.triangles(part_graph(spark, sf_dir, 1)).select(t[0].alias("a"), t[1].alias("b"), t[2].alias("c")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+
+
 def candidate_triples(spark, sf_dir):
     return C.candidate_triples(part_graph(spark, sf_dir))
 
@@ -321,7 +326,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pair_similarity, open_jaccard_pairs, common_neighbor_pairs, user_predicate_pairs, python_predicate_pairs, node_profiles, two_hop_nodes,
-        candidate_triples, admissible_triples, hypergraph_size, hyper_edges_star, hyper_edges_clique, hyper_degree_set_clique, hyper_degree_set_star,
+        triangles, candidate_triples, admissible_triples, hypergraph_size, hyper_edges_star, hyper_edges_clique, hyper_degree_set_clique, hyper_degree_set_star,
         communities, community_sizes, community_order, node_overlap_count, uncovered_nodes, node_community,
         threshold_report, threshold_sweep_counts, graph_components, pair_counts, avg_threshold, representative_thresholds, omega_of_covers, omega_direct,
         ring_offsets, ring_truth, ring_lattice_edges, ring_edge_counts, shapes_rebuilt, overlap_contract, overlap_truth, plan_units, valid_configs,
@@ -396,6 +401,9 @@ ORACLE_SQL = {
     "node_profiles": _GRAPH + "SELECT node, string_agg(nbr, ' ' ORDER BY nbr) AS neighbors, count(*) AS degree FROM adj GROUP BY node",
     "two_hop_nodes": _GRAPH + ", s AS (SELECT min(src) AS s FROM e) SELECT DISTINCT nbr AS node FROM (SELECT nbr FROM adj, s WHERE node = s UNION ALL "
     "SELECT b.nbr FROM adj a JOIN adj b ON a.nbr = b.node, s WHERE a.node = s), s WHERE nbr <> s",
+    "triangles": """WITH op AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+       e AS MATERIALIZED (SELECT DISTINCT a.p AS src, b.p AS dst FROM op a JOIN op b ON a.o = b.o AND a.p < b.p)
+       SELECT x.src AS a, count(*) AS n FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst GROUP BY 1""",
     "candidate_triples": _GRAPH + "SELECT a, b, c, CASE WHEN centers = 3 THEN 3 ELSE 2 END AS n_edges FROM ct",
     "admissible_triples": _TRIPLES + "SELECT a, b, c, round(strength, 9) AS strength FROM ta",
     "hypergraph_size": _TRIPLES + "SELECT CAST(sum(m) // 3 AS BIGINT) AS h_nodes, CAST(sum(m - 1) AS BIGINT) AS star_edges, CAST(sum(m * (m - 1) // 2) AS BIGINT) AS clique_edges FROM m",
