@@ -6,7 +6,7 @@ log2 n jumps), and replaces the links by links between roots. Each round at leas
 the nodes of every component, so links and labels shrink geometrically. Only
 aggregates with map-side combine and equi-joins against unique keys are used: a node
 with very many links is folded before the shuffle, and adaptive skew handling may split
-the other side of a join. Lineage is cut by tables in the shared folder, and what a round wants
+the other side of a join. Lineage is cut by tables in the shared folder, which are deleted when the next is there, and what a round wants
 to know (whether anything moved, how many links are left) is observed while they are
 written. There is one way for all sizes.
 """
@@ -16,21 +16,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triloom.runtime import settle
+from triloom.runtime import forget, settle
 
 
 def _jump(parents: DataFrame) -> DataFrame:
     """(hi, lo) with lo < hi, to (hi, root). Two jumps before each look at whether any was needed."""
-    now = parents
+    table = parents
     while True:
+        now = table.select("hi", "lo")
         up = now.select(F.col("hi").alias("lo"), F.col("lo").alias("up"))
         twice = now.join(up, "lo", "left").select("hi", F.coalesce("up", "lo").alias("lo"))
         up = twice.select(F.col("hi").alias("lo"), F.col("lo").alias("up"))
         jumped = twice.join(up, "lo", "left").select("hi", F.coalesce("up", "lo").alias("lo"), F.col("up").isNotNull().alias("moved"))
-        now, seen = settle(jumped, moved=F.count_if("moved"))
-        now = now.select("hi", "lo")
+        before = table
+        table, seen = settle(jumped, moved=F.count_if("moved"))
+        forget(before)
         if not seen["moved"]:
-            return now
+            return table.select("hi", "lo")
 
 
 def _distinct(links: DataFrame) -> tuple[DataFrame, int]:
@@ -54,7 +56,9 @@ def contract(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lo = roots.select(F.col("hi").alias("lo"), F.col("lo").alias("lo_root"))
         moved = edges.join(hi, "hi", "left").join(lo, "lo", "left")
         x, y = F.coalesce("hi_root", "hi"), F.coalesce("lo_root", "lo")
+        before = edges
         edges, left = _distinct(moved.where(x != y).select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")))
+        forget(before)
     if not rounds:
         return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     out = rounds[-1]

@@ -79,12 +79,20 @@ def settle(df: DataFrame, **seen: Column) -> tuple[DataFrame, dict]:
     kept = df.observe(observed, *[c.alias(k) for k, c in seen.items()]) if seen else df
     kept.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
+    table._settled_at = path
     if not seen:
         return table, {}
     got = observed_values(observed)
     return table, table.agg(*[c.alias(k) for k, c in seen.items()]).first().asDict() if got is None else got
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing will read again; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "_settled_at", None):
+            delete_path(t.sparkSession, path)
+
+
 def observed_values(observed: Observation) -> dict | None:
     """What was observed, or None where the plan was found to be empty and never ran."""
     try:
