@@ -7,13 +7,18 @@ input are dropped, null ends as well). Ids are any orderable type.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triloom.runtime import forget, release, settle
+
 #: A center with more neighbours than this is dealt to several tasks in the wedge join.
 HUB_DEGREE = 2000
+#: Edges whose lists are broadcast at once when triangles are made.
+ROUND_EDGES = 4_000_000
 
 
 def canonical_edges(df: DataFrame, src: str = "src", dst: str = "dst", by: Sequence[str] = ()) -> DataFrame:
@@ -76,20 +81,61 @@ def wedges(adj: DataFrame, by: Sequence[str] = (), keep: Sequence[str] = (), hub
     return joined.select(*by, F.col("node").alias("center"), "x", "y", *[f"{c}_{s}" for c in keep for s in "xy"])
 
 
-def triangles(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``by``, a, b, c of every triangle once.
+def out_lists(edges: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """A settled table ``by``, node, nbrs with each of the m edges at one of its ends, and m.
 
-    Every edge points to its end of higher degree (then id), and pairs are made of the edges
-    that leave a node: at most sqrt(2 m) of m edges leave one, so a hub makes few pairs.
+    It is the end that comes first: nodes go by id, after them those with more than
+    sqrt(2 m) edges (``HUB_DEGREE`` at least), by degree. There are at most sqrt(2 m) of
+    these, so no list is longer than that bound.
     """
-    d = degrees(edges, by)
-    rows = edges.select(*by, "src", "dst")
+    by = list(by)
+    listed = lambda rows, a, b: settle(rows.groupBy(*by, F.col(a).alias("node")).agg(F.collect_list(b).alias("nbrs")), m=F.sum(F.size("nbrs")))
+    lists, seen = listed(edges, "src", "dst")
+    release(edges.sparkSession)
+    m = seen["m"] or 0
+    most = max(HUB_DEGREE, math.isqrt(2 * m))
+    if m <= most:
+        return lists, m
+    pairs = lists.select(*by, F.col("node").alias("src"), F.explode("nbrs").alias("dst"))
+    own = lists.select(*by, "node", F.size("nbrs").cast("bigint").alias("n"))
+    ends = own.unionAll(pairs.groupBy(*by, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")))
+    hubs, seen = settle(ends.groupBy(*by, "node").agg(F.sum("n").alias("degree")).where(F.col("degree") > most), hubs=F.count(F.lit(1)))
+    release(edges.sparkSession)
+    if not seen["hubs"]:
+        return lists, m
     for end in ("src", "dst"):
-        rows = rows.join(d.select(*by, F.col("node").alias(end), F.col("degree").alias(f"d_{end}")), [*by, end])
+        known = hubs.select(*by, F.col("node").alias(end), F.col("degree").alias(f"d_{end}"))
+        pairs = pairs.join(F.broadcast(known), [*by, end], "left").withColumn(f"d_{end}", F.coalesce(f"d_{end}", F.lit(0)))
     up = F.struct("d_src", "src") < F.struct("d_dst", "dst")
-    out = rows.select(*by, F.when(up, F.col("src")).otherwise(F.col("dst")).alias("node"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("nbr"))
-    closing = edges.select(*by, F.col("src").alias("x"), F.col("dst").alias("y"))
-    return wedges(out, by).join(closing, [*by, "x", "y"]).select(*by, F.col("center").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"))
+    turned = pairs.select(*by, F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
+    again, _ = listed(turned, "a", "b")
+    forget(lists)
+    return again, m
+
+
+def triangles(edges: DataFrame, by: Sequence[str] = (), fold: Callable[[DataFrame], DataFrame] | None = None, at_once: int = ROUND_EDGES) -> DataFrame:
+    """``by``, a, b, c of every triangle once; with ``fold``, what it makes of them, one round after another.
+
+    Of every edge a, b the lists of both ends (``out_lists``) have the third corners in
+    common. The lists of b are broadcast, ``at_once`` edges a round, and those of a stay where
+    they are: pairs of neighbours, of which there are far more than triangles, are never written.
+    """
+    by = list(by)
+    lists, m = out_lists(edges, by)
+    rounds = max(1, -(-m // at_once))
+    turn = F.pmod(F.xxhash64(*by, "b"), F.lit(rounds))
+    near = lists.select(*by, F.col("node").alias("a"), F.col("nbrs").alias("ours"), F.explode("nbrs").alias("b"))
+    far = lists.select(*by, F.col("node").alias("b"), F.col("nbrs").alias("theirs"))
+    found = []
+    for r in range(rounds):
+        met = near.where(turn == r).join(F.broadcast(far.where(turn == r)), [*by, "b"])
+        corners = met.select(*by, "a", "b", F.explode(F.array_intersect("ours", "theirs")).alias("c"))
+        found.append(corners if fold is None else fold(corners))
+        if rounds > 1:
+            found[r], _ = settle(found[r])
+            del met, corners
+            release(edges.sparkSession)
+    return reduce(DataFrame.unionAll, found)
 
 
 def two_hop(edges: DataFrame, node, by: Sequence[str] = ()) -> DataFrame:

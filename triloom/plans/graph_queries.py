@@ -69,9 +69,14 @@ def two_hop_nodes(spark, sf_dir):
     return two_hop(e, e.agg(F.min("src")).first()[0])
 
 
-def triangles(spark, sf_dir):
-    t = F.sort_array(F.array("a", "b", "c"))
-    return graph.triangles(part_graph(spark, sf_dir, 1)).select(t[0].alias("a"), t[1].alias("b"), t[2].alias("c")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+def triangles(spark, sf_dir, at_once: int = graph.ROUND_EDGES):
+    """Of each part the triangles in which it is the smallest; parts that share an order are joined."""
+    # one shuffle by order and one by part: what follows is joined and listed where it is
+    op = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).repartition("o").distinct()
+    both = op.select("o", F.col("p").alias("src")).join(op.select("o", F.col("p").alias("dst")), "o").where("src < dst")
+    edges = both.select("src", "dst").repartition("src").distinct()
+    counted = lambda t: t.groupBy(F.least("a", "b", "c").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    return graph.triangles(edges, fold=counted, at_once=at_once).groupBy("a").agg(F.sum("n").alias("n"))
 
 
 def candidate_triples(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -93,6 +94,12 @@ def forget(*tables: DataFrame) -> None:
             delete_path(t.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has shuffle files and broadcasts that nothing refers to any more deleted now; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def observed_values(observed: Observation) -> dict | None:
     """What was observed, or None where the plan was found to be empty and never ran."""
     try:
