@@ -52,11 +52,25 @@ def _index(joint: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def omega_direct(truth: DataFrame, detected: DataFrame, totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``by``, omega from the pair counts of both covers (full outer join). ``totals`` has ``by`` and n."""
-    a = pair_counts(truth, by).withColumnRenamed("cnt", "c1")
-    b = pair_counts(detected, by).withColumnRenamed("cnt", "c2")
-    both = a.join(b, [*by, "x", "y"], "full").select(*by, F.coalesce("c1", F.lit(0)).alias("c1"), F.coalesce("c2", F.lit(0)).alias("c2"))
-    return _index(both.groupBy(*by, "c1", "c2").agg(F.count(F.lit(1)).alias("pairs")), totals, by)
+    """``by``, omega from the pair counts of both covers (full outer join). ``totals`` has ``by`` and n.
+
+    Nodes in the same communities of both covers have the same counts with every other node,
+    so one of them is paired for all m: a pair of these stands for m m' node pairs, and each
+    for the m (m - 1) / 2 among its own. Every node pair is counted, but not made.
+    """
+    by = list(by)
+    rows = truth.select(*by, "node", F.col("community_id").alias("c1")).unionByName(detected.select(*by, "node", F.col("community_id").alias("c2")), allowMissingColumns=True)
+    sets = rows.where("node IS NOT NULL").groupBy(*by, "node").agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in ("c1", "c2")])
+    alike, _ = settle(sets.groupBy(*by, "c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("nbr")))
+    sides = []
+    for c in ("c1", "c2"):
+        met = wedges(alike.select(*by, F.explode(c).alias("node"), "nbr", "m"), by, keep=["m"])
+        sides.append(met.groupBy(*by, "x", "y", "m_x", "m_y").agg(F.count(F.lit(1)).alias(c)))
+    both = sides[0].join(sides[1], [*by, "x", "y", "m_x", "m_y"], "full")
+    across = both.select(*by, F.coalesce("c1", F.lit(0)).alias("c1"), F.coalesce("c2", F.lit(0)).alias("c2"), (F.col("m_x") * F.col("m_y")).alias("pairs"))
+    among = alike.select(*by, *[F.size(c).cast("bigint").alias(c) for c in ("c1", "c2")], F.expr("m * (m - 1) div 2").alias("pairs")).where("pairs > 0")
+    joint = across.unionByName(among).groupBy(*by, "c1", "c2").agg(F.sum("pairs").alias("pairs"))
+    return _index(joint, totals, by)
 
 
 def omega_index(truth: DataFrame, detected: DataFrame, totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -185,7 +185,7 @@ def omega_of_covers(spark, sf_dir):
 
 
 def omega_direct(spark, sf_dir):
-    """The same over all customers by the counts of every pair: quadratic in a community, a cross-check."""
+    """The same over all customers by the counts of every pair in either cover, a cross-check."""
     return O.omega_direct(*_covers(spark, sf_dir)).select(F.round("omega", 9).alias("omega"))
 
 
