@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 SIGNAL_FLOOR = 0.02
 PLATEAU_SHARE = 0.95
@@ -136,9 +136,21 @@ def algorithm_rank(algo: Column | str, order: Sequence[str] = ALGORITHM_ORDER) -
 
 
 def pivot_runs(rows: DataFrame, by: Sequence[str], runs: Sequence[int], value: str = "omega", t: str = "t_argmax") -> DataFrame:
-    """``by``, run_<i> and t_run_<i> of each run."""
-    wide = rows.groupBy(*by).pivot("run", [int(r) for r in runs]).agg(F.max(usable(value)).alias("run"), F.max(usable(t)).alias("t_run"))
-    return wide.select(*by, *[F.col(f"{r}_{k}").alias(f"{k}_{r}") for k in ("run", "t_run") for r in runs])
+    """``by``, run_<i> and t_run_<i> of each run.
+
+    Only the cells that are there are shuffled, as lists; a row gets its columns at the very end, by one cast of a VARIANT
+    object that has them by name. ``by`` is in it too, as a generator that keeps columns beside it takes several times as long.
+    """
+    runs = [int(r) for r in runs]
+    if not runs:
+        return rows.select(*by).distinct()
+    wide = T.StructType([rows.schema[c] for c in by] + [T.StructField(f"{k}_{r}", T.DoubleType()) for k in ("run", "t_run") for r in runs])
+    best = rows.groupBy(*by, F.col("run").alias("__r")).agg(F.max(usable(value)).alias("run"), F.max(usable(t)).alias("t_run"))
+    held = best.groupBy(*by).agg(F.collect_list(F.when(F.col("__r").isNotNull(), F.struct("__r", "run", "t_run"))).alias("__cells"))
+    entry = lambda name, x: F.struct(name.alias("k"), x.cast("variant").alias("x"))
+    cells = F.flatten(F.transform("__cells", lambda c: F.array(*[entry(F.concat(F.lit(f"{k}_"), c["__r"].cast("string")), c[k]) for k in ("run", "t_run")])))
+    named = F.concat(F.array(*[entry(F.lit(c), F.col(c)) for c in by]), F.filter(cells, lambda c: c["x"].isNotNull()))
+    return held.select(F.inline(F.array(F.to_variant_object(F.map_from_entries(named)).cast(wide))))
 
 
 def pivot_thresholds(grid: DataFrame, by: Sequence[str], thresholds: Sequence[float], score: str = "omega") -> DataFrame:
